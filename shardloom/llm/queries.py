@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import linked_splits, mixture, quota_sample
+from shardloom.llm import linked_splits, mixture, quota_sample, shared_spans
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "p5_found": lambda s, d: linked_splits.found(t(s, d, "cells")),
         "p5_splits": lambda s, d: linked_splits.assign_splits(t(s, d, "cells")),
         "p8_found": lambda s, d: mixture.found(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_found": lambda s, d: shared_spans.shared_chars(t(s, d, "documents")),
+        "p9_report": lambda s, d: shared_spans.report(t(s, d, "documents")),
         "p8_report": lambda s, d: mixture.mixture_report(t(s, d, "documents"), t(s, d, "mix_targets")),
     }
 
