@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import leakage, linked_splits, mixture, quota_sample, shared_spans
+from shardloom.llm import flow_clusters, leakage, linked_splits, mixture, quota_sample, shared_spans
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -14,6 +14,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def queries() -> dict:
     t = _t
     return {
+        "p1_found": lambda s, d: flow_clusters.found(t(s, d, "cells")),
+        "p1_clusters": lambda s, d: flow_clusters.describe(t(s, d, "cells")),
         "p4_found": lambda s, d: quota_sample.found(t(s, d, "cells"), t(s, d, "load_plans")),
         "p4_sample": lambda s, d: quota_sample.sample(t(s, d, "cells"), t(s, d, "load_plans")),
         "p5_found": lambda s, d: linked_splits.found(t(s, d, "cells")),
