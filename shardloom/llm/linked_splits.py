@@ -3,11 +3,11 @@
 Components come from random-mate contraction. Each round every vertex tosses a
 seeded coin; a tail with a head among its neighbours joins one of them (the smallest
 by hash), edges are rewritten to the joined vertices, loops and repeats fall away, and
-the joins are written down. When no edge is left the joins are unwound from the last
-round to the first. Every step is an equi-join or a grouped minimum that combines
+the joins are written down. This ends when no edge is left. Every step is an equi-join or a grouped minimum that combines
 before the shuffle; a hub with a third of all edges gives one row a task to its
 minimum, and joins on it are split by adaptive skew handling. Each round is written to
 the shared folder, so lineage stays one round long and lost executors cost nothing.
+The joins form a forest, which is unwound by pointer doubling.
 
 A round removes at least a quarter of the vertices that still have edges, in
 expectation, so rounds grow with the logarithm of the edges.
@@ -15,51 +15,58 @@ expectation, so rounds grow with the logarithm of the edges.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.hashing import u64
-from shardloom.session import discard, materialize
+from shardloom.session import materialize, shared_dir
 
 
-def _coin(v: str, seed: int, rnd: int) -> Column:
-    """True for heads."""
-    return F.pmod(u64(seed + 7919 * rnd, F.col(v)), F.lit(2)) == 1
+def _heads(v: str) -> Column:
+    return F.pmod(F.xxhash64(F.col("s"), F.col(v)), F.lit(2)) == 1
 
 
 def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a BIGINT, b BIGINT): vertices share a root
     iff they are connected. Loops and repeats of edges are fine; null ends are left out.
-    The root is one of the component's vertices (not the smallest)."""
-    e = edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = first = materialize(e, "edges")
-    steps: list[DataFrame] = []
-    for rnd in range(max_rounds):
-        both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        joined = both.where(~_coin("a", seed, rnd) & _coin("b", seed, rnd)).groupBy(F.col("a").alias("v")).agg(F.min_by("b", u64(seed, F.col("b"))).alias("to"))
-        joined = materialize(joined, "joins")
+    The root is one of the component's vertices (not the smallest).
+
+    A round is one write of two parts, the edges left and the joins made. The round's
+    salt is a column, so all rounds run the same compiled code.
+    """
+    spark = edges.sparkSession
+    at = f"{shared_dir(spark)}/shardloom/{uuid.uuid4().hex}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(conf)
+    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e.select("a", "b", F.lit(seed).cast("bigint").alias("s"), F.lit(0).alias("part")).write.partitionBy("part").parquet(f"{at}/0")
+    rnd = 0
+    while fs.exists(path(f"{at}/{rnd}/part=0")):
+        if rnd == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        e = spark.read.schema("a bigint, b bigint, s bigint").parquet(f"{at}/{rnd}/part=0")
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+        joined = both.where(~_heads("a") & _heads("b")).groupBy(F.col("a").alias("v")).agg(F.min_by("b", F.xxhash64("s", "b")).alias("to"))
         l, r = (joined.select(F.col("v").alias(x), F.col("to").alias(f"t{x}")) for x in "ab")
-        nxt = e.join(l, "a", "left").join(r, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
-        nxt = materialize(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        steps.append(joined)
-        if rnd:
-            discard(e)
-        e = nxt
-        if e.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    # Unwind: the vertex a joins points at moved on in a later round; follow from the last.
-    label = None
-    for joined in reversed(steps):
-        if label is None:
-            label = joined.select("v", F.col("to").alias("root"))
-        else:
-            moved = joined.join(label.select(F.col("v").alias("to"), "root"), "to", "left").select("v", F.coalesce("root", "to").alias("root"))
-            label = label.unionAll(moved)
-    roots = label.select(F.col("root").alias("v"), "root").distinct()
-    del first
-    return label.unionAll(roots)
+        nxt = e.join(l, "a", "left").join(r, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"), "s").where("x <> y")
+        nxt = nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.xxhash64("s").alias("s")).distinct().withColumn("part", F.lit(0))
+        made = joined.select(F.col("v").alias("a"), F.col("to").alias("b"), F.lit(0).cast("bigint").alias("s"), F.lit(1).alias("part"))
+        nxt.unionAll(made).write.partitionBy("part").parquet(f"{at}/{rnd + 1}")
+        fs.delete(path(f"{at}/{rnd}/part=0"), True)
+        rnd += 1
+    # Every vertex joined another at most once, so the joins form a forest no deeper than
+    # the rounds; doubling the steps finds all roots.
+    made = [f"{at}/{i}/part=1" for i in range(1, rnd + 1) if fs.exists(path(f"{at}/{i}/part=1"))]
+    if not made:
+        return spark.createDataFrame([], "v bigint, root bigint")
+    up = spark.read.schema("a bigint, b bigint").parquet(*made).select(F.col("a").alias("v"), F.col("b").alias("root"))
+    for _ in range(max(0, (len(made) - 1).bit_length())):
+        nxt = up.select(F.col("v").alias("root"), F.col("root").alias("higher"))
+        up = materialize(up.join(nxt, "root", "left").select("v", F.coalesce("higher", "root").alias("root")), "roots")
+    return up.unionAll(up.select(F.col("root").alias("v"), "root").distinct())
 
 
 #: A record is linked through these columns; see link_keys.
