@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.operators import compaction
+from shardloom.operators import compaction, schema_drift
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,8 +19,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return m.where("is_copy").select(F.col("file_id"), F.col("row_no")).distinct()
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The records that the compaction keeps, with their X row as (n, sum) digests."""
+    from pyspark.sql import functions as F
+
+    m = compaction.mark_copies(compaction.explode_files(_t(spark, d, "csr_files"))).where("NOT is_copy")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return m.select("file_id", "row_no", F.col("dataset").cast("bigint").alias("dataset"), "obs_name", F.size("values").cast("bigint").alias("nnz"), F.round(total, 3).alias("total"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found}
+    t = _t
+    return {
+        "p2_found": lambda s, d: schema_drift.changes(t(s, d, "raw_records")).distinct(),
+        "p2_columns": lambda s, d: schema_drift.settled_columns(t(s, d, "raw_records")),
+        "p2_table": lambda s, d: schema_drift.settled_table(t(s, d, "raw_records"), "obs"),
+        "p3_found": p3_found,
+        "p3_kept": p3_kept,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
