@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import flow_clusters, leakage, linked_splits, mixture, quota_sample, shared_spans
+from shardloom.llm import flow_clusters, leakage, linked_splits, mixture, neighbours, quota_sample, shared_spans
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p4_sample": lambda s, d: quota_sample.sample(t(s, d, "cells"), t(s, d, "load_plans")),
         "p5_found": lambda s, d: linked_splits.found(t(s, d, "cells")),
         "p5_splits": lambda s, d: linked_splits.assign_splits(t(s, d, "cells")),
+        "p6_found": lambda s, d: neighbours.found(t(s, d, "vectors")),
+        "p6_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "vectors")),
         "p7_found": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p7_items": lambda s, d: leakage.item_report(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_found": lambda s, d: mixture.found(t(s, d, "documents"), t(s, d, "mix_targets")),
