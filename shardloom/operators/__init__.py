@@ -1,0 +1 @@
+"""Relational building blocks."""

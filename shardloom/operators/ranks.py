@@ -27,3 +27,22 @@ def hashed_rank(df: DataFrame, keys: list[str], order: Column, out: str, buckets
     s = sizes.select(*[F.col(k).alias(f"__s_{k}") for k in on], "__before", *([n_out] if n_out else []))
     cond = [local[k].eqNullSafe(s[f"__s_{k}"]) for k in on]
     return local.join(s, cond).withColumn(out, F.col("__r") + F.col("__before")).drop(h, b, "__r", "__before", *[f"__s_{k}" for k in on])
+
+
+def prefix_rank(df: DataFrame, keys: list[str], order: Column, out: str, digits: int = 2, start: int = 1) -> DataFrame:
+    """``row_number`` (from ``start``) within ``keys`` in the order of a hex digest.
+
+    The digest's first ``digits`` hex digits cut a group into ordered pieces that are
+    ranked apart and lifted by the pieces before, so even a whole table (no keys) is
+    ranked by 16**digits tasks. Digests must be unique within a group, or ties are
+    broken by the remaining columns' order as given in the digest (append the key).
+    """
+    d = df.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, digits))
+    local = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__o")))
+    sizes = d.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("__b") if keys else Window.partitionBy(F.lit(0)).orderBy("__b")  # 16**digits rows a group
+    sizes = sizes.withColumn("__before", F.sum("__c").over(w) - F.col("__c"))
+    on = [*keys, "__b"]
+    s = sizes.select(*[F.col(k).alias(f"__s_{k}") for k in on], "__before")
+    j = local.join(s, [local[k].eqNullSafe(s[f"__s_{k}"]) for k in on])
+    return j.withColumn(out, (F.col("__r") + F.col("__before") - F.lit(1 - start)).cast("bigint")).drop("__o", "__b", "__r", "__before", *[f"__s_{k}" for k in on])
