@@ -264,8 +264,6 @@ class ClassSampler(Sampler):
         g.check_preload(chunk_size, preload_nchunks, batch_size)
         g.check_at_least_1(num_samples=num_samples)
         g.resolve_mask(mask)
-        if class_weights is not None and not any(w > 0 for w in class_weights.values()):
-            raise ValueError("no class has a positive weight")
         self.chunk_size, self.preload_nchunks, self._bs = chunk_size, preload_nchunks, batch_size
         self.classes, self.num_samples, self.class_weights = classes, num_samples, class_weights
         self.mask, self.drop_last, self.seed = mask or slice(0, None), drop_last, seed
@@ -285,6 +283,8 @@ class ClassSampler(Sampler):
             raise ValueError(f"{n} classes for {n_obs} rows")
         if nulls:
             raise ValueError("classes have nulls")
+        if self.classes.where(self._weight() > 0).isEmpty():
+            raise ValueError("no class has a positive weight")
         bad = self.violations(n_obs).orderBy("class").limit(20).collect()
         if bad:
             raise ValueError("runs shorter than a chunk: " + ", ".join(f"{r['class']} ({r['n_short']})" for r in bad))

@@ -624,7 +624,7 @@ def oracle_sql() -> dict[str, str]:
         "shard_geometry_sparse": f"WITH t AS (SELECT * FROM (VALUES {values(SPARSE)}) t(n, nnz, ap, az)), c AS (SELECT *, least(greatest(1, floor(ap * (nnz::DOUBLE / n))), greatest(1, nnz))::BIGINT AS page, least(greatest(1, floor(az * (nnz::DOUBLE / n))), greatest(1, nnz))::BIGINT AS s FROM t) SELECT n::BIGINT AS n, nnz::BIGINT AS nnz, ap::BIGINT AS asked_page, az::BIGINT AS asked_shard, page, greatest(page, s - s % page)::BIGINT AS shard FROM c",
         "bytes_per_row": f"WITH {_BK}, b AS (SELECT count(DISTINCT obs) AS n, count(*) AS nnz FROM bk) SELECT 'basket' AS element, round((nnz * 8 + (n + 1) * 8)::DOUBLE / n, 6) AS bytes_per_row FROM b UNION ALL SELECT 'embedding', 256.0 UNION ALL SELECT 'events', 8 + 8 + 8 + 4 + 8 + 8.0 UNION ALL SELECT 'orders', 8 + 8 + 8 + 8 + 8 + 8.0",
         "run_coalescing": f"WITH {_EV}, f AS (SELECT obs_idx - row_number() OVER (ORDER BY obs_idx) AS g, obs_idx FROM ev WHERE value > 50) SELECT min(obs_idx)::BIGINT AS run_start, count(*)::BIGINT AS run_len FROM f GROUP BY g",
-        "auto_batches": f"WITH {_EV}, p AS (SELECT event_id, obs_idx // 300 AS request_id, obs_idx % 300 AS pos FROM ev WHERE obs_idx < 900), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_h('auto', 'request_id', 'pos')}, pos) - 1 AS rr FROM p), z AS (SELECT request_id, sum((n + 127) // 128) OVER (ORDER BY request_id) - (n + 127) // 128 AS b FROM (SELECT request_id, count(*) AS n FROM p GROUP BY 1)) SELECT event_id, request_id::BIGINT AS request_id, (b + rr // 128)::BIGINT AS batch_id, (rr % 128)::BIGINT AS pos_in_batch FROM r JOIN z USING (request_id)",
+        "auto_batches": f"WITH {_EV}, p AS (SELECT event_id, obs_idx // 300 AS request_id, obs_idx % 300 AS pos FROM ev ORDER BY event_id LIMIT 900), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_h('auto', 'request_id', 'pos')}, pos) - 1 AS rr FROM p), z AS (SELECT request_id, sum((n + 127) // 128) OVER (ORDER BY request_id) - (n + 127) // 128 AS b FROM (SELECT request_id, count(*) AS n FROM p GROUP BY 1)) SELECT event_id, request_id::BIGINT AS request_id, (b + rr // 128)::BIGINT AS batch_id, (rr % 128)::BIGINT AS pos_in_batch FROM r JOIN z USING (request_id)",
         "p3_found": f"WITH {_REC} SELECT DISTINCT file_id, row_no FROM rn WHERE k > 1",
         "p3_kept": f"WITH {_REC} SELECT file_id, row_no, dataset::BIGINT AS dataset, obs_name, len(p)::BIGINT AS nnz, round(coalesce(list_sum(list_transform(p, lambda x: x[2]::DOUBLE)), 0), 3) AS total FROM rn WHERE k = 1",
     }
