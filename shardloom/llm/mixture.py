@@ -8,7 +8,8 @@ text has size 0 and is repeated like any other; spellings of a source are equal
 ignoring case and surrounding blanks; a null source matches no target but counts in
 the total size. A source named by a mix but absent from the documents has size 0
 and falls short unless its weight is 0. Documents of sources that a mix does not
-name are not in that mix. Extra columns of the documents pass through.
+name are not in that mix. Extra columns of the documents pass through;
+ones called mix_id or copy_no get the suffix _doc.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     ``mix_id`` and ``copy_no``. The rates are one row a mix and source and the plan
     lets adaptive execution broadcast them; the documents are not shuffled then."""
     r = mixture_rates(documents, targets).select(F.col("mix_id"), F.col("key").alias("__key"), F.col("rate").alias("__rate"))
-    d = documents.where(F.col("text").isNotNull()).withColumn("__key", source_key(F.col("source")))
+    d = documents.withColumnsRenamed({c: f"{c}_doc" for c in ("mix_id", "copy_no") if c in documents.columns})
+    d = d.where(F.col("text").isNotNull()).withColumn("__key", source_key(F.col("source")))
     j = d.join(r, "__key")
     u = (F.shiftright(u64(seed, F.col("mix_id"), F.col("doc_id"), F.col("text")), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
     n = (F.floor("__rate") + F.when(u < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
