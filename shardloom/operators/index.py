@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from shardloom.session import materialize
 
 
+#: Rows that one task may rank without further cutting.
+PIECE = 250_000
+
+
 def dense_index(df: DataFrame, key: str, out: str = "obs_idx", pieces: int = 1024) -> DataFrame:
     """0-based ordinal of the rows by a unique BIGINT key.
 
@@ -20,6 +24,9 @@ def dense_index(df: DataFrame, key: str, out: str = "obs_idx", pieces: int = 102
         raise ValueError(f"{key} has nulls")
     if not n:
         return df.withColumn(out, F.lit(None).cast("bigint"))
+    pieces = min(pieces, -(-n // PIECE))
+    if pieces == 1:  # few rows: one sort
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
     width = max(1, -(-(hi - lo + 1) // pieces))
     d = df.withColumn("__b", F.expr(f"(`{key}` - {lo}) div {width}"))
     sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))

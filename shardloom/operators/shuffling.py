@@ -79,6 +79,8 @@ def unique_names(df: DataFrame, name: str = "obs_name", idx: str = "obs_idx", ma
     d = df.withColumn("__k", F.when(F.col(name).isNotNull(), F.row_number().over(w) - 1).otherwise(0))
     kept = d.where("__k = 0")
     rest = materialize(d.where("__k > 0"), "repeats")
+    if rest.isEmpty():
+        return df
     taken = kept.where(F.col(name).isNotNull()).select(F.col(name).alias("t"))
     done = None
     tail = rest.withColumn("__base", F.col(name))

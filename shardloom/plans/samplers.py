@@ -19,6 +19,7 @@ from shardloom.functions import geometry as g
 from shardloom.hashing import draw, md5_key, u32
 from shardloom.operators.index import expand, runs
 from shardloom.operators.ranks import prefix_rank
+from shardloom.session import materialize
 
 PLAN = ["request_id", "pos", "obs_idx", "batch_id", "pos_in_batch"]
 #: A chunk-rank table of up to this many rows (16 bytes each) is broadcast; a longer one is joined by shuffle.
@@ -267,6 +268,7 @@ class ClassSampler(Sampler):
         self.chunk_size, self.preload_nchunks, self._bs = chunk_size, preload_nchunks, batch_size
         self.classes, self.num_samples, self.class_weights = classes, num_samples, class_weights
         self.mask, self.drop_last, self.seed = mask or slice(0, None), drop_last, seed
+        self._runs: tuple | None = None
 
     batch_size = property(lambda self: self._bs)
 
@@ -283,7 +285,7 @@ class ClassSampler(Sampler):
             raise ValueError(f"{n} classes for {n_obs} rows")
         if nulls:
             raise ValueError("classes have nulls")
-        if self.classes.where(self._weight() > 0).isEmpty():
+        if self.class_runs(n_obs).isEmpty():
             raise ValueError("no class has a positive weight")
         bad = self.violations(n_obs).orderBy("class").limit(20).collect()
         if bad:
@@ -300,8 +302,10 @@ class ClassSampler(Sampler):
     def class_runs(self, n_obs: int) -> DataFrame:
         """class, start, stop of the runs within the mask, of classes that weigh anything."""
         a, b = g.resolve_mask(self.mask, n_obs)
-        c = self.classes.where((F.col("obs_idx") >= a) & (F.col("obs_idx") < b)).where(self._weight() > 0)
-        return runs(c, "obs_idx", "class")
+        if self._runs is None or self._runs[0] != (a, b):  # found once a mask, written down
+            c = self.classes.where((F.col("obs_idx") >= a) & (F.col("obs_idx") < b)).where(self._weight() > 0)
+            self._runs = (a, b), materialize(runs(c, "obs_idx", "class"), "runs")
+        return self._runs[1]
 
     def violations(self, n_obs: int) -> DataFrame:
         """class, n_short: runs shorter than a chunk."""

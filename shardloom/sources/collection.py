@@ -157,7 +157,7 @@ class Collection:
             rows = rows.withColumn("__p", F.filter(F.arrays_zip("x_indices", "x_values"), lambda p: F.array_contains(keep, p["x_indices"])))
             rows = rows.withColumn("x_indices", F.col("__p.x_indices")).withColumn("x_values", F.col("__p.x_values")).drop("__p")
         rows = dense_index_by(rows.drop("obs_idx", "dataset", "row"), ["__src", *(order or [name])]).drop("__src")
-        n = rows.count()
+        n = sum(f.count() for f in frames.values())
         if not n:
             raise ValueError("nothing to write: 0 rows")
         old = None if self.is_empty else self.read().drop("dataset", "row")
