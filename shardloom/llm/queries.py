@@ -31,5 +31,24 @@ def queries() -> dict:
     }
 
 
+_LABEL = "trim(regexp_replace(lower({0}), '[\\s_-]+', ' ', 'g'))"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that are plain counting or containment; the others are tested
+    against brute force in tests/llm."""
+    pools = f"po AS (SELECT store_id, {_LABEL.format('label')} AS k, count(DISTINCT rec_id) AS h FROM cells WHERE label IS NOT NULL GROUP BY 1, 2)"
+    size = f"sz AS (SELECT lower(trim(source, {_BLANKS})) AS k, sum(strlen(text))::HUGEINT AS tokens FROM documents GROUP BY 1), tt AS (SELECT sum(tokens) AS total FROM sz)"
+    # Words of a text, and its runs of n words as text.
+    words = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    runs = lambda n: f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n} - 1], ' '))"
+    return {
+        "p4_found": f"WITH {pools} SELECT DISTINCT plan_id, split_name, label FROM load_plans p LEFT JOIN po ON po.store_id = p.store_id AND po.k = {_LABEL.format('p.label')} WHERE coalesce(h, 0) * 1000 < share_pm * sample_size OR coalesce(h, 0) < min_rows",
+        "p7_found": (
+            f"WITH iw AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL), ip AS (SELECT DISTINCT item_id, least(25, len(w)) AS n, unnest({runs('least(25, len(w))')}) AS r FROM iw WHERE len(w) > 0),"
+            f" ns AS (SELECT DISTINCT n FROM ip), dw AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), dp AS (SELECT DISTINCT doc_id, n, unnest({runs('n')}) AS r FROM dw, ns WHERE len(w) >= n)"
+            " SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (n, r)"
+        ),
+        "p8_found": f"WITH {size} SELECT DISTINCT mix_id, source FROM mix_targets m LEFT JOIN sz ON lower(trim(m.source, {_BLANKS})) = k, tt WHERE weight_bp::HUGEINT * budget_pct * total > max_repeats::HUGEINT * coalesce(tokens, 0) * 1000000",
+    }
