@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,32 +129,53 @@ class Loader:
         return self.rows().groupBy("batch_id").applyInPandas(one, schema)
 
     def __iter__(self) -> Iterator[dict]:
-        """Batches in order. Rows are range-partitioned by batch, so the driver holds one
-        partition (some preload windows) at a time and the next is fetched meanwhile."""
+        """Batches in order. Rows are range-partitioned by batch and every batch is packed
+        into one Arrow buffer on the executors, so the driver fetches a few large rows: one
+        partition (some preload windows) at a time, the next one meanwhile."""
         d = self.rows()
         n = max(1, min(200, len(self) // 8))
         ordered = d.repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id", "pos_in_batch")
         extra = {"obs_idx", "request_id", "pos", "batch_id", "pos_in_batch", "dataset", "row"}
         names = [c for c in d.columns if c not in extra and not c.startswith("x_") and c != "x"]
-        held: list = []
-        now = None
-        for r in ordered.toLocalIterator(prefetchPartitions=True):
-            if now is not None and r["batch_id"] != now:
-                yield self._batch(held, names)
-                held = []
-            now = r["batch_id"]
-            held.append(r)
-        if held:
-            yield self._batch(held, names)
-
-    def _batch(self, rows: list, names: list[str]) -> dict:
-        import pandas as pd
-
-        pdf = pd.DataFrame([r.asDict() for r in rows])
-        out: dict = {"obs": pdf[names] if names else None, "var": self._var, "index": pdf["obs_idx"].to_numpy() if self.return_index else None}
-        if "x_indices" in pdf:
-            width = int(max((max(i) + 1 for i in pdf["x_indices"] if i is not None and len(i)), default=0)) if self._var is None else self.n_var
-            out["X"] = matrix.dense_batch(pdf, width) if self.to == "dense" else matrix.csr_batch(pdf, width) if self.to == "csr" else pdf[["x_indices", "x_values"]]
+        packed = ordered.mapInArrow(pack_batches, "batch_id bigint, body binary")
+        width = self.n_var if self._var is not None else None
+        for r in packed.toLocalIterator(prefetchPartitions=True):
+            yield self._batch(pa.ipc.open_stream(r["body"]).read_all(), names, width)
+
+    def _batch(self, t: pa.Table, names: list[str], width: int | None) -> dict:
+        out: dict = {"obs": t.select(names).to_pandas() if names else None, "var": self._var, "index": t["obs_idx"].to_numpy() if self.return_index else None}
+        if "x_indices" in t.column_names:
+            x = matrix.csr_arrow(t["x_indices"].combine_chunks(), t["x_values"].combine_chunks(), width)
+            out["X"] = x if self.to == "csr" else matrix.csr_dense(*x) if self.to == "dense" else t.select(["x_indices", "x_values"]).to_pandas()
+        elif "x" in t.column_names and self.to != "rows" and pa.types.is_list(t["x"].type):
+            x = t["x"].combine_chunks()
+            out["X"] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
         else:
-            out["X"] = np.stack(pdf["x"].to_list()) if "x" in pdf and self.to != "rows" else pdf["x"] if "x" in pdf else None
+            out["X"] = t["x"].to_numpy() if "x" in t.column_names else None
         return out
+
+
+def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by batch_id -> one row a batch with its rows as an Arrow stream."""
+
+    def pack(t: pa.Table) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        return pa.RecordBatch.from_arrays([pa.array([t["batch_id"][0].as_py()], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch_id", "body"])
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        ids = b.column("batch_id").to_numpy()
+        if not len(ids):
+            continue
+        cut = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, z in zip(cut, cut[1:]):
+            if held and ids[a] != now:
+                yield pack(pa.Table.from_batches(held))
+                held = []
+            now = ids[a]
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pack(pa.Table.from_batches(held))

@@ -164,21 +164,21 @@ def gather(plan: DataFrame, data: DataFrame, idx: str = "obs_idx") -> DataFrame:
     return plan.join(data, idx)
 
 
-def csr_batch(pdf, width: int, indices: str = "x_indices", values: str = "x_values"):
-    """(data, indices, indptr, shape) of a batch's pandas rows."""
+def csr_arrow(indices, values, width: int | None = None):
+    """(data, indices, indptr, shape) of a batch's Arrow list columns; null rows are empty.
+    Without ``width`` it is the largest index + 1."""
     import numpy as np
 
-    lens = [0 if i is None else len(i) for i in pdf[indices]]
+    lens = np.where(indices.is_null().to_numpy(zero_copy_only=False), 0, np.diff(indices.offsets.to_numpy()))
     ptr = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-    cat = lambda c, t: np.concatenate([np.asarray(x, t) for x in pdf[c] if x is not None and len(x)]) if ptr[-1] else np.zeros(0, t)
-    return cat(values, np.float64), cat(indices, np.int64), ptr, (len(pdf), width)
+    ind, data = (a.flatten().to_numpy(zero_copy_only=False) for a in (indices, values))  # flatten leaves nulls out
+    return data, ind, ptr, (len(lens), width if width is not None else int(ind.max()) + 1 if len(ind) else 0)
 
 
-def dense_batch(pdf, width: int, indices: str = "x_indices", values: str = "x_values"):
-    """A batch's sparse rows as a dense array."""
+def csr_dense(data, ind, ptr, shape):
+    """A CSR batch as a dense array; entries of one place add up."""
     import numpy as np
 
-    data, ind, ptr, shape = csr_batch(pdf, width, indices, values)
-    out = np.zeros(shape)
+    out = np.zeros(shape, data.dtype)
     np.add.at(out, (np.repeat(np.arange(shape[0]), np.diff(ptr)), ind), data)
     return out

@@ -132,6 +132,34 @@ class Collection:
         m = F.create_map(*[F.lit(x) for kv in off.items() for x in kv])
         return self.read().withColumn("obs_idx", m[F.col("dataset")].cast("bigint") + F.col("row"))
 
+    def fetch(self, ranges: list[slice], max_predicates: int = 64) -> DataFrame:
+        """The rows of global half-open ranges, with obs_idx. Each range becomes (dataset, row
+        range) predicates that prune partitions and, as files are sorted by row, row
+        groups; ranges that touch are one. More than ``max_predicates`` are joined instead. A
+        row that several ranges name comes once (use a plan for repeats)."""
+        starts, sizes = _starts(self.sizes), self.sizes
+        if any(r.step not in (None, 1) or (r.start or 0) < 0 or (r.stop is not None and r.stop > self.n_obs) for r in ranges):
+            raise ValueError("ranges have step 1 and lie within the rows")
+        merged: list[list[int]] = []
+        for a, z in sorted((r.start or 0, self.n_obs if r.stop is None else r.stop) for r in ranges):
+            if z > a and merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], z)
+            elif z > a:
+                merged.append([a, z])
+        parts = [(k, max(a, starts[k]) - starts[k], min(z, starts[k] + n) - starts[k]) for a, z in merged for k, n in sizes.items() if a < starts[k] + n and z > starts[k]]
+        if not parts:
+            return self.indexed().limit(0)
+        if len(parts) <= max_predicates:
+            hit = None
+            for k, a, z in parts:
+                p = (F.col("dataset") == k) & (F.col("row") >= a) & (F.col("row") < z)
+                hit = p if hit is None else hit | p
+            return self.indexed().where(hit)
+        from shardloom.operators.index import expand
+
+        t = self.spark.createDataFrame(parts, "dataset int, start bigint, stop bigint")
+        return self.indexed().join(expand(t, out="row").select("dataset", "row"), ["dataset", "row"], "left_semi")
+
     # -- writing ---------------------------------------------------------------
     def add(self, sources: list[str | DataFrame], *, load: Callable[[SparkSession, str], DataFrame] = read_source, name: str = "obs_name", order: list[str] | None = None, groupby: str | list[str] | None = None, categories: dict[str, list[str]] | None = None, var_subset: list[int] | None = None, dataset_size: int | str = "20GB", block: int = 1000, page: int = 64, codec: str = "lz4", shuffle: bool = True, seed: int = 7, provenance: str | None = "src_path") -> Collection:
         """Create the collection, or append to it if it has rows.

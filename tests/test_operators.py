@@ -122,12 +122,13 @@ def test_promotion_and_concat(spark):
 
 
 def test_csr_export(spark):
-    import pandas as pd
+    import pyarrow as pa
 
-    pdf = pd.DataFrame({"x_indices": [[0, 2], None, [], [1]], "x_values": [[1.0, 2.0], None, [], [3.0]]})
-    data, ind, ptr, shape = matrix.csr_batch(pdf, 3)
+    i, v = pa.array([[0, 2], None, [], [1]], pa.list_(pa.int32())), pa.array([[1.0, 2.0], None, [], [3.0]], pa.list_(pa.float32()))
+    data, ind, ptr, shape = matrix.csr_arrow(i, v, 3)
     assert data.tolist() == [1, 2, 3] and ind.tolist() == [0, 2, 1] and ptr.tolist() == [0, 2, 2, 2, 3] and shape == (4, 3)
-    assert matrix.dense_batch(pdf, 3).tolist() == [[1, 0, 2], [0, 0, 0], [0, 0, 0], [0, 3, 0]]
+    assert matrix.csr_arrow(i[2:3], v[2:3])[3] == (1, 0) and matrix.csr_arrow(i[3:], v[3:])[2].tolist() == [0, 1]
+    assert matrix.csr_dense(data, ind, ptr, shape).tolist() == [[1, 0, 2], [0, 0, 0], [0, 0, 0], [0, 3, 0]]
     long = spark.createDataFrame([(1, 5, 2.0), (1, 3, 1.0), (1, 5, 1.0)], "obs int, feature int, value double")
     r = matrix.to_rows(long).first()
     assert r["indices"] == [3, 5] and r["values"] == [1.0, 3.0]

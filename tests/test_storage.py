@@ -46,6 +46,18 @@ def test_create_append_and_versions(spark, collection):
     assert "v1" not in c.files.names() and c.read().count() == 146
 
 
+def test_fetch_ranges(spark, collection):
+    want = [*range(3, 7), *range(38, 50), *range(100, 103)]
+    for most in (64, 1):
+        got = collection.fetch([slice(38, 45), slice(3, 7), slice(44, 50), slice(100, None), slice(5, 5)], most)
+        assert sorted(r.obs_idx for r in got.select("obs_idx").collect()) == want
+    assert collection.fetch([]).count() == 0
+    with pytest.raises(ValueError):
+        collection.fetch([slice(0, 999)])
+    plan = collection.fetch([slice(38, 45)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan or "PartitionFilters: [(" in plan or "dataset" in plan.split("PartitionFilters")[1][:80]
+
+
 def test_unshuffled_grouped_create(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/c").add([source(spark, 30, 0)], dataset_size="1GB", block=10, shuffle=False, groupby="label", categories={"label": ["b", "a"]}, order=["numeric"], var_subset=[7])
     d = c.read().toPandas().sort_values("row")
