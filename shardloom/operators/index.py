@@ -83,16 +83,19 @@ def offsets(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
 
 
 def locate(df: DataFrame, idx: str, sizes: dict[int, int]) -> DataFrame:
-    """Global ordinal -> (dataset, local_row), by a lookup among dataset offsets.
+    """Global ordinal -> (dataset, local_row); an ordinal out of range gives nulls.
 
-    ``sizes`` comes from a manifest. The offsets go into an array that is searched per
-    row (binary search by the array's sorted order is not needed for the few datasets a
-    collection has); an ordinal out of range gives nulls.
+    ``sizes`` comes from a manifest. The range of ordinals is cut into equal buckets, some
+    four to a dataset, and each dataset is listed under those it touches: the lookup is an
+    equi-join on the bucket with a few rows each, not a comparison with every dataset.
     """
-    off = offsets(sizes)
-    spark = df.sparkSession
-    table = spark.createDataFrame([(k, a, b) for k, (a, b) in off.items() if b > a], "dataset int, __a bigint, __z bigint")
-    return df.join(F.broadcast(table), (F.col(idx) >= F.col("__a")) & (F.col(idx) < F.col("__z")), "left").withColumn("local_row", F.col(idx) - F.col("__a")).drop("__a", "__z")
+    off = [(k, a, z) for k, (a, z) in offsets(sizes).items() if z > a]
+    total = off[-1][2] if off else 0
+    width = max(1, -(-total // max(1, 4 * len(off))))
+    rows = [(b, k, a, z) for k, a, z in off for b in range(a // width, (z - 1) // width + 1)]
+    table = df.sparkSession.createDataFrame(rows, "__b bigint, dataset int, __a bigint, __z bigint")
+    hit = (F.expr(f"`{idx}` div {width}") == F.col("__b")) & (F.col(idx) >= F.col("__a")) & (F.col(idx) < F.col("__z"))
+    return df.join(F.broadcast(table), hit, "left").withColumn("local_row", F.col(idx) - F.col("__a")).drop("__a", "__z", "__b")  # at most five rows a dataset
 
 
 def expand(slices: DataFrame, start: str = "start", stop: str = "stop", out: str = "obs_idx") -> DataFrame:

@@ -35,13 +35,13 @@ def remap_long(long: DataFrame, var: DataFrame, axis: DataFrame, feature: str =
 
 def remap_rows(rows: DataFrame, mapping: DataFrame, indices: str = "x_indices", values: str = "x_values", max_features: int = 2_000_000) -> DataFrame:
     """Rewrites the index arrays by ``mapping`` (old_idx, new_idx), drops features without a
-    new index and sorts entries by the new one. The mapping travels as one map literal
-    column joined from a single row; it is checked to have at most ``max_features``."""
+    new index and sorts entries by the new one. The mapping travels as one map from a scalar
+    subquery; it is checked to have at most ``max_features``."""
     n = mapping.count()
     if n > max_features:
         raise ValueError(f"{n} features are more than max_features")
     m = mapping.agg(F.map_from_entries(F.collect_list(F.struct(F.col("old_idx").cast("int"), F.col("new_idx").cast("int")))).alias("__m"))
-    j = rows.crossJoin(F.broadcast(m))  # one row, of a checked size
+    j = rows.withColumn("__m", m.scalar())
     p = F.expr(f"array_sort(filter(zip_with(`{indices}`, `{values}`, (i, v) -> struct(element_at(__m, i) AS i, v AS v)), p -> p.i IS NOT NULL))")
     j = j.withColumn("__p", p)
     return j.withColumn(indices, F.col("__p.i")).withColumn(values, F.col("__p.v")).drop("__p", "__m")
