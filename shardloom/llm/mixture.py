@@ -42,7 +42,7 @@ def mixture_rates(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """
     sizes = source_sizes(documents)
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("decimal(38,0)").alias("total"))
-    t = targets.withColumn("key", source_key(F.col("source"))).join(sizes, "key", "left").join(F.broadcast(total))  # one row
+    t = targets.withColumn("key", source_key(F.col("source"))).join(sizes, "key", "left").withColumn("total", total.scalar())
     dec = lambda c: F.col(c).cast("decimal(18,0)")
     tokens = F.coalesce(F.col("tokens"), F.lit(0).cast("decimal(38,0)"))
     big = lambda c: c.cast("decimal(24,0)")
