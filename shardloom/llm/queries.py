@@ -43,7 +43,21 @@ def oracle_sql() -> dict[str, str]:
     # Words of a text, and its runs of n words as text.
     words = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
     runs = lambda n: f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n} - 1], ' '))"
+    links = "RECURSIVE {0}, rr(a, b) AS (SELECT DISTINCT v, v FROM vs UNION SELECT rr.a, e.b FROM rr JOIN e ON rr.b = e.a), ro AS (SELECT a, min(b) AS root FROM rr GROUP BY a)"  # vs(v), e(a, b) both ways
+    entries = "ce AS (SELECT DISTINCT rec_id, x_indices, x_values FROM cells WHERE rec_id IS NOT NULL AND len(x_indices) > 0), lo AS (SELECT rec_id, unnest(x_indices) AS f, unnest(x_values)::DOUBLE AS v FROM ce), nn AS (SELECT rec_id, sqrt(sum(v * v)) AS n FROM lo GROUP BY 1 HAVING sum(v * v) > 0), un AS (SELECT rec_id, f, v / n AS v FROM lo JOIN nn USING (rec_id) WHERE v <> 0)"
+    keys = (
+        f"d AS (SELECT rec_id, nullif(regexp_extract(donor_id, '[0-9]+'), '')::BIGINT AS dn, lower(trim(sample_id, {_BLANKS})) AS s, lower(trim(obs_name, {_BLANKS})) AS o FROM cells),"
+        " ks AS (SELECT rec_id, 'd' || dn AS k FROM d WHERE dn IS NOT NULL UNION SELECT rec_id, 's' || s FROM d WHERE s <> '' UNION SELECT rec_id, 'o' || o FROM d WHERE o <> '' AND NOT regexp_full_match(o, '[0-9]+')),"
+        " mk AS (SELECT rec_id, min(k) AS k0 FROM ks GROUP BY 1), e AS (SELECT k0 AS a, k AS b FROM ks JOIN mk USING (rec_id) WHERE k0 <> k UNION SELECT k, k0 FROM ks JOIN mk USING (rec_id) WHERE k0 <> k), vs AS (SELECT DISTINCT k AS v FROM ks)"
+    )
     return {
+        "p1_found": f"WITH {links.format(entries + ', pr AS (SELECT x.rec_id AS a, y.rec_id AS b FROM un x JOIN un y ON x.f = y.f AND x.rec_id < y.rec_id GROUP BY 1, 2 HAVING sum(x.v * y.v) >= 0.7), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), vs AS (SELECT DISTINCT a AS v FROM e)')}, sz AS (SELECT root FROM ro GROUP BY root HAVING count(*) >= 3) SELECT a AS rec_id, root AS cluster_rec FROM ro JOIN sz USING (root)",
+        "p5_found": f"WITH {links.format(keys)}, g AS (SELECT rec_id, root FROM mk JOIN ro ON k0 = a), sz AS (SELECT root, min(dn) AS group_donor FROM g JOIN d USING (rec_id) GROUP BY root HAVING count(DISTINCT rec_id) >= 2) SELECT rec_id, group_donor FROM g JOIN sz USING (root)",
+        "p9_found": (
+            "WITH po AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200))),"
+            " sh AS (SELECT h FROM po GROUP BY h HAVING min(doc_id) <> max(doc_id)), st AS (SELECT doc_id, i, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS n FROM po WHERE h IN (SELECT h FROM sh))"
+            " SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM st GROUP BY doc_id"
+        ),
         "p4_found": f"WITH {pools} SELECT DISTINCT plan_id, split_name, label FROM load_plans p LEFT JOIN po ON po.store_id = p.store_id AND po.k = {_LABEL.format('p.label')} WHERE coalesce(h, 0) * 1000 < share_pm * sample_size OR coalesce(h, 0) < min_rows",
         "p7_found": (
             f"WITH iw AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL), ip AS (SELECT DISTINCT item_id, least(25, len(w)) AS n, unnest({runs('least(25, len(w))')}) AS r FROM iw WHERE len(w) > 0),"
