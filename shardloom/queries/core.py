@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions import geometry as g
-from shardloom.hashing import md5_key
 from shardloom.operators import census, compaction, index, matrix, schema_drift, shuffling
 from shardloom.plans import samplers as s
 
@@ -154,7 +153,7 @@ def append_deal(spark, d):
 def _sources(spark, d):
     e = _t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     drop = ["value", "event_type", "user_id"]  # a column missing in each source
-    return [e.where(F.col("user_id") % 3 == i).drop(drop[i]) if drop[i] != "user_id" else e.where(F.col("user_id") % 3 == i).drop("user_id") for i in range(3)]
+    return [e.where(F.col("user_id") % 3 == i).drop(drop[i]) for i in range(3)]
 
 
 def concat_outer_obs(spark, d):
@@ -389,9 +388,7 @@ def shard_geometry_sparse(spark, d):
 
 def bytes_per_row(spark, d):
     b = _bk(spark, d).agg(F.countDistinct("obs").alias("n"), F.count(F.lit(1)).alias("nnz")).first()
-    e = _t(spark, d, "embeddings")
     rows = [("basket", g.sparse_row_bytes(b["n"], b["nnz"])), ("embedding", float(g.dense_row_bytes((1, 64), "float"))), ("events", float(g.table_row_bytes(_t(spark, d, "events").schema, frozenset({"event_type"})))), ("orders", float(g.table_row_bytes(_t(spark, d, "orders").schema)))]
-    del e
     return spark.createDataFrame([(k, round(v, 6)) for k, v in rows], "element string, bytes_per_row double")
 
 
@@ -403,9 +400,7 @@ def run_coalescing(spark, d):
 
 def auto_batches(spark, d):
     """Batches for a custom plan without any: three requests of consecutive rows."""
-    n = _n(spark, d, "events")
     p = _ev(spark, d).where("obs_idx < 900").select(F.expr("obs_idx div 300").alias("request_id"), (F.col("obs_idx") % 300).alias("pos"), "obs_idx", "event_id")
-    del n
     return _big(s.auto_batches(p, 128, True, SEED).select("event_id", "request_id", "batch_id", "pos_in_batch"))
 
 

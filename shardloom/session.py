@@ -53,20 +53,3 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     path = os.path.join(shared_dir(spark), "shardloom", uuid.uuid4().hex, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized step that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark) + "/shardloom/"
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        if root.replace("file://", "") in f:
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that many + 1.
-    This check stands before every broadcast in the package."""
-    return df.limit(max_rows + 1).count() <= max_rows
