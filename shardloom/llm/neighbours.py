@@ -19,9 +19,11 @@ a candidate's score is the sum of ``m`` looked-up entries divided by its stored
 The ``rerank`` best scores of each piece are compared exactly, in double precision, with
 the vector itself, and each query keeps its best ``k`` over all pieces.
 
-*Copies.* Vectors equal in all components are searched once. A class of copies offers its
+*Copies.* Vectors of one direction (unit components equal to 12 places, as cosines are
+compared) are searched once. A class of copies offers its
 ``k + 1`` smallest ids as neighbours - no more can be among anyone's k nearest, as ties
-go to the smaller id - and its result serves all members.
+go to the smaller id - and its result serves all members. Of classes that tie those with
+the smallest ids are kept, at every cut.
 
 Odd input: null, empty, all-zero, NaN- or infinity-holding embeddings, embeddings with
 null components and null ids take no part; vectors of another length than most are
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.hashing import u64
@@ -115,18 +117,28 @@ def valid(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(~bad & F.exists("e", lambda x: x != 0))
 
 
+def _direction(e: str) -> Column:
+    """Equal for vectors that are multiples of each other, by unit components to 12 places."""
+    top = F.array_max(F.transform(e, lambda x: F.abs(x.cast("double"))))
+    # As a column of an array of one, each step is made once a vector, not once a component.
+    scaled = F.transform(F.array(F.struct(F.col(e).alias("e"), top.alias("top"))), lambda s: F.transform(s["e"], lambda x: x.cast("double") / s["top"]))
+    size = lambda z: F.sqrt(F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform(F.transform(scaled, lambda z: F.struct(z.alias("z"), size(z).alias("n"))), lambda s: F.transform(s["z"], lambda x: F.round(x / s["n"], 12)))
+    return F.md5(F.concat_ws(",", F.transform(unit[0], lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))).cast("binary"))
+
+
 def neighbours(vectors: DataFrame, k: int = 5, probes: int = 8, rerank: int = 128, per_cell: int = 64, sample: int = SAMPLE, piece: int = 1024, beam: int = 4, max_cells: int = 16_384, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
     """vec_id, neighbour, cos, rank (1..k) of every vector that takes part."""
     if k < 1 or probes < 1 or rerank < k:
         raise ValueError("k >= 1, probes >= 1, rerank >= k")
     spark = vectors.sparkSession
-    v = materialize(valid(vectors).withColumn("key", F.md5(F.concat_ws(",", F.transform("e", lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))).cast("binary"))), "vectors")
+    v = materialize(valid(vectors).withColumn("key", _direction("e")), "vectors")
     # A class of copies: its k + 1 smallest ids, found in two steps (a class may be huge).
     ids = v.select("key", "vec_id").distinct().withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
     w1, w2 = Window.partitionBy("key", "s").orderBy("vec_id"), Window.partitionBy("key").orderBy("vec_id")
     lead = ids.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(w2)).where(F.col("r") <= k + 1)
     lead = lead.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # at most k + 1
-    each = v.groupBy("key").agg(F.any_value("e").alias("e"))
+    each = v.groupBy("key").agg(F.min("e").alias("e"))
     classes = materialize(each.join(lead, "key").withColumn("cid", F.xxhash64("key")).withColumn("dim", F.size("e")), "classes")
     empty = spark.createDataFrame([], "vec_id bigint, neighbour bigint, cos double, rank int")
     dims = [r["dim"] for r in classes.select("dim").distinct().limit(257).collect()]
@@ -169,18 +181,18 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
                 u = (e / np.linalg.norm(e, axis=1)[:, None]).astype(np.float32)
                 codes, norms = q.encode(u, beam)
                 near = q.cells_near(u, probes)
-                yield pd.DataFrame({"cid": z["cid"].to_numpy(), "codes": list(codes), "norm": norms.astype(np.float64), "near": list(near.astype(np.int32)), "e": z["e"].to_numpy()})
+                yield pd.DataFrame({"cid": z["cid"].to_numpy(), "codes": list(codes), "norm": norms.astype(np.float64), "least": z["least"].to_numpy(), "near": list(near.astype(np.int32)), "e": z["e"].to_numpy()})
 
-    coded = part.select("cid", "e").mapInPandas(encode, f"cid bigint, codes array<int>, norm double, near array<int>, e {dict(part.dtypes)['e']}")
+    coded = part.select("cid", "e", F.col("ids")[0].alias("least")).mapInPandas(encode, f"cid bigint, codes array<int>, norm double, least bigint, near array<int>, e {dict(part.dtypes)['e']}")
     coded = materialize(coded, "codes")
     # Pieces of bounded size: a cell has as many as its rows need.
     size = coded.groupBy(F.col("codes")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
     size = materialize(size, "sizes")  # at most max_cells rows, so it may be broadcast
-    home = coded.select(F.col("codes")[0].alias("cell"), "cid", "codes", "norm", "e", F.lit(0).alias("asks"))
+    home = coded.select(F.col("codes")[0].alias("cell"), "cid", "codes", "norm", "least", "e", F.lit(0).alias("asks"))
     home = home.join(F.broadcast(size), "cell").withColumn("piece", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("pieces")).cast("int"))
-    ask = coded.select(F.explode("near").alias("cell"), "cid", F.lit(None).cast("array<int>").alias("codes"), F.lit(0.0).alias("norm"), "e", F.lit(1).alias("asks"))
+    ask = coded.select(F.explode("near").alias("cell"), "cid", F.lit(None).cast("array<int>").alias("codes"), F.lit(0.0).alias("norm"), "least", "e", F.lit(1).alias("asks"))
     ask = ask.join(F.broadcast(size), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cols = ["cell", "piece", "cid", "codes", "norm", "e", "asks"]
+    cols = ["cell", "piece", "cid", "codes", "norm", "least", "e", "asks"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by (cell, piece, asks): a piece's vectors, then its visitors."""
@@ -190,9 +202,9 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
         ready: tuple | None = None
 
         def prepare():
-            h = pd.concat(home_rows, ignore_index=True)
+            h = pd.concat(home_rows, ignore_index=True).sort_values("least", kind="stable")
             e = _stack(h["e"])
-            return h["cid"].to_numpy(), np.stack(h["codes"].to_list()), h["norm"].to_numpy(), e / np.linalg.norm(e, axis=1)[:, None]
+            return h["cid"].to_numpy(), h["least"].to_numpy(), np.stack(h["codes"].to_list()), h["norm"].to_numpy(), e / np.linalg.norm(e, axis=1)[:, None]
 
         for b in batches:
             place = b["cell"].to_numpy().astype(np.int64) << 32 | b["piece"].to_numpy()
@@ -207,7 +219,7 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
                 if not home_rows:
                     continue
                 ready = ready or prepare()
-                cid, codes, norm, unit = ready
+                cid, least, codes, norm, unit = ready
                 for s in range(a, z, 512):
                     g = b.iloc[s : min(s + 512, z)]
                     e = _stack(g["e"])
@@ -220,17 +232,17 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
                             used, code = np.unique(codes[:, m], return_inverse=True)
                             score += (uf @ book[used].T)[:, code]
                         score /= np.maximum(norm, 1e-9).astype(np.float32)[None, :]
-                        best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                        best = np.sort(np.argsort(-score, axis=1, kind="stable")[:, :top], axis=1)  # ties to the smaller id, as the piece is in its order
                     else:
                         best = np.broadcast_to(np.arange(len(cid)), (len(g), len(cid)))
-                    cos = np.einsum("qd,qtd->qt", u, unit[best])
+                    cos = np.round(np.einsum("qd,qtd->qt", u, unit[best]), 12)
                     keep = min(k + 1, top)  # itself and k others
-                    lead = np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
-                    yield pd.DataFrame({"cid": np.repeat(g["cid"].to_numpy(), keep), "other": cid[np.take_along_axis(best, lead, 1)].ravel(), "cos": np.round(np.take_along_axis(cos, lead, 1).ravel(), 12)})
+                    lead = np.argsort(-cos, axis=1, kind="stable")[:, :keep]
+                    yield pd.DataFrame({"cid": np.repeat(g["cid"].to_numpy(), keep), "other": cid[np.take_along_axis(best, lead, 1)].ravel(), "least": least[np.take_along_axis(best, lead, 1)].ravel(), "cos": np.take_along_axis(cos, lead, 1).ravel()})
 
     rows = home.select(*cols).unionAll(ask.select(*cols)).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "asks")
-    hits = rows.mapInPandas(search, "cid bigint, other bigint, cos double")
-    w = Window.partitionBy("cid").orderBy(F.col("cos").desc(), "other")  # at most probes * pieces * (k + 1) rows a class
+    hits = rows.mapInPandas(search, "cid bigint, other bigint, least bigint, cos double")
+    w = Window.partitionBy("cid").orderBy(F.col("cos").desc(), "least", "other")  # at most probes * pieces * (k + 1) rows a class
     hits = hits.where("cid <> other").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
     hits = materialize(hits, "hits")
     ids = part.select(F.col("cid").alias("other"), F.explode("ids").alias("id"))

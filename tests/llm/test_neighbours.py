@@ -74,3 +74,13 @@ def test_additive_codes_come_closer_with_more_books_and_beams():
         return ((v - s) ** 2).sum(1).mean()
 
     assert loss(q, 4) < loss(q, 1) < loss(x.Quantiser(q.books[:3]), 1)
+
+
+def test_scaled_copies_tie_to_the_smaller_id(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(-9, 10, size=8).astype(float)
+    rows = [(int(i), base * (1 + 3 * j)) for j, i in enumerate(r.permutation(60))] + [(1000 + i, base + r.normal(size=8)) for i in range(3)]
+    n = x.neighbours(frame(spark, rows).repartition(3), 5, rerank=8, piece=16).toPandas()
+    got = {i: list(g.sort_values("rank").neighbour) for i, g in n.groupby("vec_id")}
+    assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(60))
+    assert got[1000] == brute(rows, 5)[1000]
