@@ -1,23 +1,24 @@
 """The k most similar vectors of every vector, by additive quantisation.
 
-*Codebooks.* ``m`` codebooks of full-dimensional codewords are fitted one after the other
-to the residuals of a bounded sample (``sample`` rows, the smallest by a hash of their
-content, so the sample is the same whatever the partitioning). A vector's code is found
-by beam search over the codebooks: the ``beam`` best partial sums are extended by every
-codeword, not just the nearest. The code stands for the sum of its codewords; the sum's
-squared norm is stored with it.
-
-*Index.* Every vector is indexed. The first codebook's words are the cells: a vector lies
-under the first word of its code, and its query visits the cells of the ``probes``
-words nearest to it. There is a cell for every ``per_cell`` sampled-up rows, so cells
-stay as small as the collection grows. A cell is cut into pieces of bounded size
-(``piece``) and a piece is one unit of work, so neither a hot cell nor its visitors
-meet in one task.
-
-*Search.* In a piece, a visiting query's inner products with all codewords are a table;
-a candidate's score is the sum of ``m`` looked-up entries divided by its stored norm.
-The ``rerank`` best scores of each piece are compared exactly, in double precision, with
-the vector itself, and each query keeps its best ``k`` over all pieces.
+*Codebooks.* ``books`` codebooks of full-dimensional codewords are fitted one after the
+other to the residuals of a bounded sample: the rows of smallest content hash, 64 for each
+word of the first book and at most ``sample``; so the sample is the same whatever the
+partitioning. A vector's code is found by beam search over the codebooks: the ``beam``
+best partial sums are extended by every codeword, not just the nearest. The code stands
+for the sum of its codewords; the sum's norm is stored with it.
+
+*Index.* Every vector is indexed. The first codebook's words are the cells, as many as four
+times the square root of the number of vectors, fitted in two levels, so that cells next
+to each other in number are near each other. A vector lies under the first word of its code.
+Neighbouring cells make up a *unit* of work of about ``piece`` rows; a cell that has
+more alone is cut into several, so a hot cell never meets in one task. A query goes once to
+each unit that holds one of the ``probes`` cells nearest to it: the cells it is near to are a
+number that does not depend on the collection, and a cell's rows grow with the square root.
+
+*Search.* In a unit, a visiting query's inner products with all codewords are a table; the
+score of every vector of the unit is the sum of ``books`` looked-up entries divided by its
+stored norm, at every size. The ``rerank`` best scores of the unit are compared exactly, in
+double precision, with the vector itself, and each query keeps its best ``k`` over all units.
 
 *Copies.* Vectors of one direction (unit components equal to 12 places, as cosines are
 compared) are searched once. A class of copies offers its
@@ -33,6 +34,7 @@ compared with their own kind only; a vec_id delivered twice with the same vector
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +45,9 @@ from pyspark.sql import functions as F
 from shardloom.hashing import u64
 from shardloom.session import materialize
 
-BOOKS = 6
-WORDS = 64
-SAMPLE = 50_000
+BOOKS = 8
+WORDS = 256
+SAMPLE = 1_000_000
 
 
 class Quantiser:
@@ -59,16 +61,7 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         rest, out = x.astype(np.float32), []
         for b in range(books):
-            k = min(cells if b == 0 else words, len(rest))
-            c = rest[rng.choice(len(rest), k, replace=False)].copy()
-            for _ in range(rounds):
-                near = _nearest(rest, c)
-                n = np.bincount(near, minlength=k)
-                s = np.zeros((k, x.shape[1]), np.float64)
-                o = np.argsort(near, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], near[o][1:] != near[o][:-1]]))
-                s[near[o][cut]] = np.add.reduceat(rest[o].astype(np.float64), cut)
-                c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c).astype(np.float32)
+            c = _two_levels(rest, min(cells, len(rest)), rounds, rng) if b == 0 else _means(rest, min(words, len(rest)), rounds, rng)
             out.append(c)
             rest = rest - c[_nearest(rest, c)]
         return Quantiser(out)
@@ -91,6 +84,21 @@ class Quantiser:
             codes = np.concatenate([codes[r, parent], word[:, :, None]], axis=2)
         return codes[:, 0], np.linalg.norm(sums[:, 0], axis=1)
 
+    def best(self, u: np.ndarray, codes: np.ndarray, norms: np.ndarray, n: int) -> np.ndarray:
+        """For each row of ``u`` the places, ascending, of the ``n`` codes of highest score, which
+        is looked up in the row's table of inner products; ties go to the earlier place."""
+        score = np.zeros((len(codes), len(u)), np.float32)
+        for m, book in enumerate(self.books):
+            used, code = np.unique(codes[:, m], return_inverse=True)
+            score += (book[used] @ u.T)[code]
+        score /= np.maximum(norms, 1e-9).astype(np.float32)[:, None]
+        score = np.ascontiguousarray(score.T)
+        n = min(n, len(codes))
+        least = np.partition(score, len(codes) - n, axis=1)[:, len(codes) - n, None]
+        over, tie = score > least, score == least
+        over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
+        return np.nonzero(over)[1].reshape(len(u), n)
+
     def cells_near(self, x: np.ndarray, probes: int) -> np.ndarray:
         c = self.books[0]
         far = (c * c).sum(1)[None, :] - 2 * x @ c.T
@@ -98,6 +106,39 @@ class Quantiser:
         return np.argpartition(far, p - 1, axis=1)[:, :p]
 
 
+def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` means of the rows; a mean that loses all its rows stays where it was."""
+    c = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = _nearest(x, c)
+        n = np.bincount(near, minlength=k)
+        s = np.zeros((k, x.shape[1]), np.float64)
+        o = np.argsort(near, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], near[o][1:] != near[o][:-1]]))
+        s[near[o][cut]] = np.add.reduceat(x[o].astype(np.float64), cut)
+        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c).astype(np.float32)
+    return c
+
+
+def _two_levels(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """About ``k`` means: sqrt(k) of all rows, then each one's share of ``k`` among its rows."""
+    near = _nearest(x, _means(x, max(1, round(k**0.5)), rounds, rng))
+    return np.concatenate([_means(own, max(1, min(len(own), round(k * len(own) / len(x)))), rounds, rng) for own in (x[near == g] for g in np.unique(near))])
+
+
+def _units(cell: np.ndarray, n: np.ndarray, words: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """By cell number: its first unit, and how many units it has (0: no rows). Cells that
+    follow each other share a unit of up to about ``piece`` rows."""
+    first, parts = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    unit, held = 0, 0
+    for c, k in sorted(zip(cell.tolist(), n.tolist())):
+        if held and held + k > piece:
+            unit, held = unit + 1, 0
+        first[c], parts[c] = unit, max(1, -(-k // piece))
+        unit, held = (unit + parts[c], 0) if k > piece else (unit, held + k)
+    return first, parts
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
     half = (c * c).sum(1) / 2
@@ -127,10 +168,10 @@ def _direction(e: str) -> Column:
     return F.md5(F.concat_ws(",", F.transform(unit[0], lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))).cast("binary"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, probes: int = 8, rerank: int = 128, per_cell: int = 64, sample: int = SAMPLE, piece: int = 1024, beam: int = 4, max_cells: int = 16_384, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 224, sample: int = SAMPLE, piece: int = 2048, beam: int = 4, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
     """vec_id, neighbour, cos, rank (1..k) of every vector that takes part."""
-    if k < 1 or probes < 1 or rerank < k:
-        raise ValueError("k >= 1, probes >= 1, rerank >= k")
+    if k < 1 or probes < 1 or rerank <= k:
+        raise ValueError("k >= 1, probes >= 1, rerank > k")
     spark = vectors.sparkSession
     v = materialize(valid(vectors).withColumn("key", _direction("e")), "vectors")
     # A class of copies: its k + 1 smallest ids, found in two steps (a class may be huge).
@@ -147,7 +188,7 @@ def neighbours(vectors: DataFrame, k: int = 5, probes: int = 8, rerank: int = 12
     parts = []
     for dim in dims:
         part = classes.where(F.col("dim") == dim)
-        parts.append(_search(part, dim, k, probes, rerank, per_cell, sample, piece, beam, max_cells, books, words, seed))
+        parts.append(_search(part, k, probes, rerank, sample, piece, beam, books, words, seed))
     if not parts:
         return empty
     best = parts[0]
@@ -160,17 +201,20 @@ def neighbours(vectors: DataFrame, k: int = 5, probes: int = 8, rerank: int = 12
     return out.select("vec_id", F.col("n.id").alias("neighbour"), (-F.col("n.far")).alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
-def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cell: int, sample: int, piece: int, beam: int, max_cells: int, books: int, words: int, seed: int) -> DataFrame:
+def _search(part: DataFrame, k: int, probes: int, rerank: int, sample: int, piece: int, beam: int, books: int, words: int, seed: int) -> DataFrame:
     """key, near (array of (id, cos), at least the class's k + 1 nearest ids) by class."""
     sc = part.sparkSession.sparkContext
     n = part.count()
-    share = 1.0 if n <= sample else 1.2 * sample / n
-    limit = F.lit(int((2 * share - 1) * ((1 << 63) - 1)) if share < 1 else (1 << 63) - 1)
-    few = part.where(u64(seed, F.col("key")) <= limit).select("e").limit(sample).toPandas()  # at most ``sample`` rows
+    cells = min(n, 4 * math.isqrt(n))
+    # The rows of smallest hash, exactly so many; a hash below twice their share is looked at.
+    size = min(n, sample, 64 * max(cells, words))
+    share = min(1.0, 2.0 * size / n + 1e-4)
+    few = part.select("e", "key", u64(seed, F.col("key")).alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63)))))
+    few = few.orderBy("h", "key").limit(size).select("e").toPandas()  # at most ``sample`` rows
     x = _stack(few["e"]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    cells = int(min(max_cells, max(1, n // per_cell), max(1, len(x) // 4)))
-    quantiser = sc.broadcast(Quantiser.fit(x, cells, books, words, seed=seed))  # books * words * dim floats
+    fitted = Quantiser.fit(x, cells, books, words, seed=seed)
+    quantiser = sc.broadcast(fitted)  # books * words * dim floats
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = quantiser.value
@@ -185,19 +229,29 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
 
     coded = part.select("cid", "e", F.col("ids")[0].alias("least")).mapInPandas(encode, f"cid bigint, codes array<int>, norm double, least bigint, near array<int>, e {dict(part.dtypes)['e']}")
     coded = materialize(coded, "codes")
-    # Pieces of bounded size: a cell has as many as its rows need.
-    size = coded.groupBy(F.col("codes")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
-    size = materialize(size, "sizes")  # at most max_cells rows, so it may be broadcast
-    home = coded.select(F.col("codes")[0].alias("cell"), "cid", "codes", "norm", "least", "e", F.lit(0).alias("asks"))
-    home = home.join(F.broadcast(size), "cell").withColumn("piece", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("pieces")).cast("int"))
-    ask = coded.select(F.explode("near").alias("cell"), "cid", F.lit(None).cast("array<int>").alias("codes"), F.lit(0.0).alias("norm"), "least", "e", F.lit(1).alias("asks"))
-    ask = ask.join(F.broadcast(size), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cols = ["cell", "piece", "cid", "codes", "norm", "least", "e", "asks"]
+    # Cells to units; the cells' sizes are a row a cell, the square root of the vectors.
+    count = coded.groupBy(F.col("codes")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    units = sc.broadcast(_units(count["cell"].to_numpy(np.int64), count["n"].to_numpy(np.int64), len(fitted.books[0]), piece))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A vector's own row in its unit, and a row without code for each unit that it asks."""
+        first, parts = units.value
+        for b in batches:
+            cell, cid = np.array([c[0] for c in b["codes"]], np.int64), b["cid"].to_numpy()
+            home = first[cell] + (cid.view(np.uint64) % parts[cell].astype(np.uint64)).astype(np.int64)
+            yield pd.DataFrame({"unit": home, "asks": 0, "cid": cid, "least": b["least"], "codes": b["codes"], "norm": b["norm"], "e": b["e"]})
+            near = np.stack(b["near"].to_list()).astype(np.int64)
+            who, near = np.repeat(np.arange(len(b)), near.shape[1]), near.ravel()
+            who, near = who[parts[near] > 0], near[parts[near] > 0]
+            n = parts[near]
+            to = np.repeat(first[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.unique(np.stack([np.repeat(who, n), to], 1), axis=0)
+            yield pd.DataFrame({"unit": pair[:, 1], "asks": 1, "cid": cid[pair[:, 0]], "least": 0, "codes": None, "norm": 0.0, "e": b["e"].to_numpy()[pair[:, 0]]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by (cell, piece, asks): a piece's vectors, then its visitors."""
+        """Rows sorted by (unit, asks): a unit's vectors, then its visitors."""
         q = quantiser.value
-        here: tuple | None = None
+        here: int | None = None
         home_rows: list[pd.DataFrame] = []
         ready: tuple | None = None
 
@@ -207,42 +261,32 @@ def _search(part: DataFrame, dim: int, k: int, probes: int, rerank: int, per_cel
             return h["cid"].to_numpy(), h["least"].to_numpy(), np.stack(h["codes"].to_list()), h["norm"].to_numpy(), e / np.linalg.norm(e, axis=1)[:, None]
 
         for b in batches:
-            place = b["cell"].to_numpy().astype(np.int64) << 32 | b["piece"].to_numpy()
-            asks = b["asks"].to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (asks[1:] != asks[:-1])]))
+            unit, asks = b["unit"].to_numpy(), b["asks"].to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (asks[1:] != asks[:-1])]))
             for a, z in zip(cut, np.append(cut[1:], len(b))):
-                if place[a] != here:
-                    here, home_rows, ready = place[a], [], None
+                if unit[a] != here:
+                    here, home_rows, ready = unit[a], [], None
                 if not asks[a]:
                     home_rows.append(b.iloc[a:z])
                     continue
-                if not home_rows:
-                    continue
                 ready = ready or prepare()
-                cid, least, codes, norm, unit = ready
-                for s in range(a, z, 512):
-                    g = b.iloc[s : min(s + 512, z)]
+                cid, least, codes, norm, own = ready
+                for s in range(a, z, 256):
+                    g = b.iloc[s : min(s + 256, z)]
                     e = _stack(g["e"])
                     u = e / np.linalg.norm(e, axis=1)[:, None]
-                    uf = u.astype(np.float32)
-                    top = min(rerank, len(cid))
-                    if top < len(cid):
-                        score = np.zeros((len(g), len(cid)), np.float32)
-                        for m, book in enumerate(q.books):  # the table of inner products, looked up by code
-                            used, code = np.unique(codes[:, m], return_inverse=True)
-                            score += (uf @ book[used].T)[:, code]
-                        score /= np.maximum(norm, 1e-9).astype(np.float32)[None, :]
-                        best = np.sort(np.argsort(-score, axis=1, kind="stable")[:, :top], axis=1)  # ties to the smaller id, as the piece is in its order
-                    else:
-                        best = np.broadcast_to(np.arange(len(cid)), (len(g), len(cid)))
-                    cos = np.round(np.einsum("qd,qtd->qt", u, unit[best]), 12)
-                    keep = min(k + 1, top)  # itself and k others
+                    best = q.best(u.astype(np.float32), codes, norm, rerank)
+                    cos = np.round(np.einsum("qd,qtd->qt", u, own[best]), 12)
+                    keep = min(k + 1, best.shape[1])  # itself and k others
                     lead = np.argsort(-cos, axis=1, kind="stable")[:, :keep]
-                    yield pd.DataFrame({"cid": np.repeat(g["cid"].to_numpy(), keep), "other": cid[np.take_along_axis(best, lead, 1)].ravel(), "least": least[np.take_along_axis(best, lead, 1)].ravel(), "cos": np.take_along_axis(cos, lead, 1).ravel()})
+                    top = np.take_along_axis(best, lead, 1)
+                    yield pd.DataFrame({"cid": np.repeat(g["cid"].to_numpy(), keep), "other": cid[top].ravel(), "least": least[top].ravel(), "cos": np.take_along_axis(cos, lead, 1).ravel()})
 
-    rows = home.select(*cols).unionAll(ask.select(*cols)).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "asks")
+    kind = dict(part.dtypes)["e"]
+    rows = coded.mapInPandas(place, f"unit bigint, asks int, cid bigint, least bigint, codes array<int>, norm double, e {kind}")
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "asks")
     hits = rows.mapInPandas(search, "cid bigint, other bigint, least bigint, cos double")
-    w = Window.partitionBy("cid").orderBy(F.col("cos").desc(), "least", "other")  # at most probes * pieces * (k + 1) rows a class
+    w = Window.partitionBy("cid").orderBy(F.col("cos").desc(), "least", "other")  # k + 1 rows for each unit a class asks
     hits = hits.where("cid <> other").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
     hits = materialize(hits, "hits")
     ids = part.select(F.col("cid").alias("other"), F.explode("ids").alias("id"))

@@ -39,7 +39,7 @@ def test_recall_of_a_clustered_collection(spark):
     r = np.random.default_rng(1)
     c = r.normal(size=(150, 32))
     rows = [(i, c[i % 150] + 0.25 * r.normal(size=32)) for i in range(3000)]
-    n = x.neighbours(frame(spark, rows), 5, per_cell=32).toPandas()
+    n = x.neighbours(frame(spark, rows), 5, piece=256).toPandas()
     want = brute(rows, 5)
     got = n.groupby("vec_id").neighbour.apply(set)
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) >= 0.95
@@ -84,3 +84,44 @@ def test_scaled_copies_tie_to_the_smaller_id(spark):
     got = {i: list(g.sort_values("rank").neighbour) for i, g in n.groupby("vec_id")}
     assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(60))
     assert got[1000] == brute(rows, 5)[1000]
+
+
+def test_scores_come_from_the_tables():
+    r = np.random.default_rng(5)
+    v = r.normal(size=(500, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q = x.Quantiser.fit(v, 16, books=3, words=16)
+    codes, norms = q.encode(v)
+    s = sum(b[codes[:, m]] for m, b in enumerate(q.books))
+    want = (v[:40] @ s.T) / norms
+    best = q.best(v[:40], codes, norms, 25)
+    assert best.shape == (40, 25) and (np.diff(best, axis=1) > 0).all()
+    kept = np.take_along_axis(want, best, 1).min(1)
+    assert np.allclose(kept, np.sort(want, axis=1)[:, -25], atol=1e-5)
+    # Equal codes tie: the earlier places are kept.
+    same = q.best(v[:3], np.repeat(codes[:1], 50, 0), np.repeat(norms[:1], 50), 7)
+    assert (same == np.arange(7)).all()
+
+
+def test_a_short_rerank_costs_recall_so_the_tables_decide(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=16)) for i in range(800)]
+    want = brute(rows, 5)
+
+    def recall(**kw):
+        got = x.neighbours(frame(spark, rows), 5, books=2, words=4, **kw).toPandas().groupby("vec_id").neighbour.apply(set)
+        return np.mean([len(got[i] & set(want[i])) / 5 for i in want])
+
+    assert recall(rerank=6, probes=200) < recall(rerank=800, probes=200) == 1
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    r = np.random.default_rng(7)
+    d = frame(spark, [(i, r.normal(size=8)) for i in range(900)])
+    a, b = (sorted(map(tuple, x.neighbours(d.repartition(p), 3, rerank=8, probes=2, piece=64).collect())) for p in (1, 13))
+    assert [t[:2] for t in a] == [t[:2] for t in b]
+
+
+def test_units_hold_every_cell_and_cut_hot_ones():
+    first, parts = x._units(np.array([0, 1, 2, 4, 5]), np.array([10, 10, 100, 5, 5]), 6, 25)
+    assert parts.tolist() == [1, 1, 4, 0, 1, 1] and first[0] == first[1] == 0 and first[2] == 1 and first[4] == first[5] == 5
