@@ -64,6 +64,16 @@ def same_features(vars_: list[DataFrame], name: str = "var_name", idx: str = "va
             raise ValueError("features differ between datasets")
 
 
+def check_axis(var: DataFrame, name: str = "var_name", idx: str = "var_idx") -> None:
+    """Raises unless a feature table has names and indices of the right kinds, neither null nor twice."""
+    t = dict(var.dtypes)
+    if t.get(name) != "string" or t.get(idx) not in ("int", "bigint", "smallint"):
+        raise TypeError(f"a feature table has {name} (string) and {idx} (integer), not {t}")
+    n, names, places, low = var.agg(F.count(F.lit(1)), F.countDistinct(name), F.countDistinct(idx), F.min(idx)).first()
+    if names < n or places < n or (low is not None and low < 0):
+        raise ValueError("feature names or indices repeat, are null or negative")
+
+
 def union_categories(lists: list[list[str]]) -> list[str]:
     """Categories of all inputs; the first input's order, then new ones as they come."""
     return list(dict.fromkeys(c for cats in lists for c in cats))

@@ -12,37 +12,42 @@ from shardloom.session import materialize
 PIECE = 250_000
 
 
-def dense_index(df: DataFrame, key: str, out: str = "obs_idx", pieces: int = 1024) -> DataFrame:
-    """0-based ordinal of the rows by a unique BIGINT key.
-
-    The key's range is cut into equal pieces (its least and greatest value come from
-    the files' statistics); rows are ranked within a piece and lifted by the rows of the
-    pieces before. Null keys raise, as they have no place.
-    """
-    lo, hi, n, nulls = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+def dense_index(df: DataFrame, key: str, out: str = "obs_idx") -> DataFrame:
+    """0-based ordinal of the rows by a unique BIGINT key. Null keys raise, as they have no
+    place. More rows than one task may rank are ranged over partitions (``dense_index_by``)."""
+    n, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
     if nulls:
         raise ValueError(f"{key} has nulls")
-    if not n:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    pieces = min(pieces, -(-n // PIECE))
-    if pieces == 1:  # few rows: one sort
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
-    width = max(1, -(-(hi - lo + 1) // pieces))
-    d = df.withColumn("__b", F.expr(f"(`{key}` - {lo}) div {width}"))
+    if n > PIECE:
+        return dense_index_by(df, [key], out, n)
+    return df.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
+
+
+def partitions_for(df: DataFrame, n: int, row_bytes: float = 0, target: int = 128 << 20) -> int:
+    """Partitions for ``n`` rows (of 512 bytes, if not known): ``target`` bytes each, and at
+    least one a core where there are 10,000 rows for each."""
+    row_bytes = row_bytes or 512
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return int(max(1, -(-n * row_bytes // target), min(cores, -(-n // 10_000))))
+
+
+def range_positions(df: DataFrame, keys: list, partitions: int) -> DataFrame:
+    """Rows in the order of ``keys``, written down, with ``__at``, the 0-based place of each in
+    the whole. One shuffle by ranges and no window: a row knows its place in its
+    partition, and partitions are lifted by their counts (a row a partition)."""
+    d = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    d = d.withColumn("__b", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    d = materialize(d, "ordered")
     sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.select(F.col("__b").alias("__p"), (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__f"))  # at most ``pieces`` rows
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(key)))
-    return d.join(F.broadcast(before), F.col("__b") == F.col("__p")).withColumn(out, F.col("__f") + F.col("__r") - 1).drop("__b", "__p", "__f", "__r")
+    before = sizes.select(F.col("__b").alias("__p"), (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__f"))
+    return d.join(F.broadcast(before), F.col("__b") == F.col("__p")).withColumn("__at", F.col("__f") + F.col("__i")).drop("__b", "__i", "__p", "__f")
 
 
-def dense_index_by(df: DataFrame, keys: list[str], out: str = "obs_idx", partitions: int = 64) -> DataFrame:
-    """The same for any unique sort key: rows are range-partitioned, the partition is
-    written down with them, and partitions are lifted by their counts."""
-    d = materialize(df.repartitionByRange(partitions, *keys).withColumn("__b", F.spark_partition_id()), "indexed")
-    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.select(F.col("__b").alias("__p"), (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__f"))  # at most ``partitions`` rows
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*keys)))
-    return d.join(F.broadcast(before), F.col("__b") == F.col("__p")).withColumn(out, F.col("__f") + F.col("__r") - 1).drop("__b", "__p", "__f", "__r")
+def dense_index_by(df: DataFrame, keys: list[str], out: str = "obs_idx", n: int | None = None, row_bytes: float = 0) -> DataFrame:
+    """The same for any unique sort key. ``n`` and ``row_bytes`` (counted and 0 if not given)
+    decide the number of partitions."""
+    n = df.count() if n is None else n
+    return range_positions(df, [F.col(k) for k in keys], partitions_for(df, n, row_bytes)).withColumnRenamed("__at", out)
 
 
 def runs(df: DataFrame, idx: str, value: str, block: int = 1 << 16) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from shardloom.functions.geometry import promote
 
 
+#: The prefix of the element that has a feature axis of its own.
+RAW = "raw"
+
+
 def feature_axis(sources: list[DataFrame], name: str = "var_name", idx: str = "var_idx") -> DataFrame:
     """Outer union of feature axes: name, new_idx (0-based, in order of first appearance),
     n_sources. Names must be unique within each source."""
@@ -33,22 +37,40 @@ def remap_long(long: DataFrame, var: DataFrame, axis: DataFrame, feature: str =
     return long.join(m, feature)
 
 
+def index_map(mapping: DataFrame, max_features: int = 2_000_000) -> Column:
+    """``mapping`` (old_idx, new_idx) as one array, at place old_idx the new index or null,
+    from a scalar subquery: an entry is looked up in constant time. It is checked to
+    have at most ``max_features`` places."""
+    top = mapping.agg(F.max("old_idx")).first()[0]
+    if top is not None and top >= max_features:
+        raise ValueError(f"feature {top} is beyond max_features")
+    m = mapping.select(F.col("old_idx").cast("bigint").alias("o"), F.col("new_idx").cast("int").alias("n"))
+    m = mapping.sparkSession.range((top if top is not None else -1) + 1).join(m, F.col("id") == F.col("o"), "left")
+    return m.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"])).scalar()
+
+
 def remap_rows(rows: DataFrame, mapping: DataFrame, indices: str = "x_indices", values: str = "x_values", max_features: int = 2_000_000) -> DataFrame:
     """Rewrites the index arrays by ``mapping`` (old_idx, new_idx), drops features without a
-    new index and sorts entries by the new one. The mapping travels as one map from a scalar
-    subquery; it is checked to have at most ``max_features``."""
-    n = mapping.count()
-    if n > max_features:
-        raise ValueError(f"{n} features are more than max_features")
-    m = mapping.agg(F.map_from_entries(F.collect_list(F.struct(F.col("old_idx").cast("int"), F.col("new_idx").cast("int")))).alias("__m"))
-    j = rows.withColumn("__m", m.scalar())
-    p = F.expr(f"array_sort(filter(zip_with(`{indices}`, `{values}`, (i, v) -> struct(element_at(__m, i) AS i, v AS v)), p -> p.i IS NOT NULL))")
+    new index and sorts entries by the new one. Null rows stay null."""
+    j = rows.withColumn("__m", index_map(mapping, max_features))
+    p = F.expr(f"array_sort(filter(zip_with(`{indices}`, `{values}`, (i, v) -> struct(if(i < 0, null, get(__m, i)) AS i, v AS v)), p -> p.i IS NOT NULL))")
     j = j.withColumn("__p", p)
     return j.withColumn(indices, F.col("__p.i")).withColumn(values, F.col("__p.v")).drop("__p", "__m")
 
 
+def remap_dense(rows: DataFrame, mapping: DataFrame, width: int, column: str = "x", max_features: int = 2_000_000) -> DataFrame:
+    """Dense rows on the outer axis of ``width`` features: NaN where the source has no such
+    feature. ``mapping`` (old_idx, new_idx) as above."""
+    back = mapping.where("new_idx IS NOT NULL").select(F.col("new_idx").alias("old_idx"), F.col("old_idx").alias("new_idx"))
+    j = rows.withColumn("__m", index_map(back, max_features))
+    kind = dict(rows.dtypes)[column][6:-1]
+    kind = kind if kind in ("float", "double") else promote(kind, "float")
+    x = F.expr(f"if(`{column}` IS NULL, null, transform(sequence(0, {width - 1}), j -> coalesce(cast(get(`{column}`, get(__m, j)) AS {kind}), cast('NaN' AS {kind}))))") if width else F.col(column)
+    return j.withColumn(column, x).drop("__m")
+
+
 def align_dense(row: str, old_to_new: list[int | None], width: int) -> Column:
-    """A dense row on the outer axis: NaN where the source has no such feature."""
+    """A dense row on the outer axis, for a handful of features known to the caller."""
     back: list[int | None] = [None] * width
     for o, n in enumerate(old_to_new):
         if n is not None:
@@ -56,6 +78,18 @@ def align_dense(row: str, old_to_new: list[int | None], width: int) -> Column:
     return F.array(*[F.lit(float("nan")) if o is None else F.col(row)[o].cast("double") for o in back])
 
 
+def subset_axis(var: DataFrame, names: list[str], name: str = "var_name") -> DataFrame:
+    """A feature table's rows whose name is asked for, in their own order."""
+    keep = var.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "__n string")
+    return var.join(keep, F.col(name) == F.col("__n"), "left_semi")
+
+
+def sparse_elements(df: DataFrame) -> list[str]:
+    """The prefixes p of which df has arrays p_indices and p_values: X, layers, raw."""
+    t = dict(df.dtypes)
+    return [c[:-8] for c in df.columns if c.endswith("_indices") and t[c].startswith("array") and t.get(c[:-8] + "_values", "").startswith("array")]
+
+
 def subset_features(long: DataFrame, keep: DataFrame, feature: str = "feature") -> DataFrame:
     return long.join(keep.select(feature).distinct(), feature, "left_semi")
 
@@ -111,6 +145,17 @@ def agreement(have: list[tuple[int, DataFrame]], axis: DataFrame, n: int) -> Dat
     return axis.join(g, "feature", "left").select("feature", "value", F.coalesce(ok, F.lit(False)).alias("agree"))
 
 
+def merge_tables(vars_: list[DataFrame], axis: DataFrame, mode: str | None, name: str = "var_name", idx: str = "var_idx") -> DataFrame:
+    """The feature table of an outer axis (name, new_idx): var_idx, var_name and the attributes
+    that ``mode`` keeps, with nulls for features that only sources without the attribute have."""
+    out = axis.select(F.col("new_idx").alias("var_idx"), F.col("name").alias("var_name"))
+    for c in dict.fromkeys(c for v in vars_ for c in v.columns if c not in (name, idx)):
+        a = merge_attribute([(v, c if c in v.columns else None) for v in vars_], mode, name)
+        if a is not None:
+            out = out.join(a.select(F.col("feature").alias("__f"), F.col("value").alias(c)), F.col("var_name") == F.col("__f"), "left").drop("__f")
+    return out
+
+
 def merge_by_feature(long: DataFrame, mode: str, n_sources: int) -> DataFrame:
     """The four modes feature by feature on (src, feature, value): same - all n_sources
     agree; unique - the sources that have the feature agree; first - the first source's
