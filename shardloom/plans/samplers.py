@@ -8,6 +8,7 @@ table of chunk ranks. Every random decision is a seeded hash of a key.
 
 from __future__ import annotations
 
+import copy
 import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
@@ -24,6 +25,8 @@ from shardloom.session import materialize
 PLAN = ["request_id", "pos", "obs_idx", "batch_id", "pos_in_batch"]
 #: A chunk-rank table of up to this many rows (16 bytes each) is broadcast; a longer one is joined by shuffle.
 BROADCAST_CHUNKS = 1_000_000
+#: Parts of [0, 1) in which a draw looks for its class.
+GRID = 1 << 12
 
 
 class Sampler(ABC):
@@ -144,9 +147,10 @@ class _ChunkSampler(Sampler):
         start = F.when(F.col("chunk") <= pivot, a + F.col("chunk") * cs).otherwise(a + (F.col("chunk") - 1) * cs + r)
         return c.select("chunk", start.alias("start"), (start + F.when(F.col("chunk") == pivot, r).otherwise(cs)).alias("stop"), "visit_rank")
 
-    def annotate(self, df: DataFrame, n_obs: int, idx: str = "obs_idx") -> DataFrame:
+    def annotate(self, df: DataFrame, n_obs: int, idx: str = "obs_idx", chunks: DataFrame | None = None) -> DataFrame:
         """Adds request_id, pos, batch_id, pos_in_batch to rows that carry their ordinal;
-        rows outside the mask or cut off are gone. Without replacement only."""
+        rows outside the mask or cut off are gone. Without replacement only. ``df`` may hold
+        some whole requests; ``chunks`` is the output of ``chunks``, if it is at hand."""
         if self.replacement:
             raise ValueError("with replacement rows repeat: use plan() and a join")
         self.validate(n_obs)
@@ -161,7 +165,7 @@ class _ChunkSampler(Sampler):
             out = rows.where(F.col(idx) < a + n)
             q = lambda d: F.expr(f"(`{idx}` - {a}) div {d}")
             return out.withColumn("request_id", q(m)).withColumn("pos", at % m).withColumn("batch_id", q(bs)).withColumn("pos_in_batch", at % bs)
-        c = self.chunks(df.sparkSession, n_obs)
+        c = self.chunks(df.sparkSession, n_obs) if chunks is None else chunks
         n_chunks = -(-total // cs)
         # The chunk of a row in closed form: before, in and behind the ragged chunk.
         p = c.where(F.col("visit_rank") == n_chunks - 1).first()
@@ -252,8 +256,9 @@ class RandomSampler(_ChunkSampler):
 class ClassSampler(Sampler):
     """Single-class batches with replacement, from runs of a class column.
 
-    ``classes``: DataFrame (obs_idx, class). ``class_weights`` by class; missing ones weigh
-    1, those <= 0 are left out before any check. A draw takes a class by its weight
+    ``classes``: DataFrame (obs_idx, class). ``class_weights`` by class, one for each class
+    there is (else ``validate`` raises; by default all weigh 1); classes that weigh <= 0 are
+    left out before any check. A draw takes a class by its weight
     (renormalised over the classes present), then one of its runs uniformly, then a start in
     it uniformly, so short runs are drawn as often as long ones. A run shorter than a chunk is an
     error that names the class.
@@ -285,25 +290,31 @@ class ClassSampler(Sampler):
             raise ValueError(f"{n} classes for {n_obs} rows")
         if nulls:
             raise ValueError("classes have nulls")
+        if self.class_weights is not None:
+            missing = [r["class"] for r in self.classes.select("class").distinct().limit(len(self.class_weights) + 1).collect() if r["class"] not in self.class_weights]
+            if missing:
+                raise ValueError(f"classes without a weight: {sorted(missing)[:20]}")
         if self.class_runs(n_obs).isEmpty():
             raise ValueError("no class has a positive weight")
         bad = self.violations(n_obs).orderBy("class").limit(20).collect()
         if bad:
             raise ValueError("runs shorter than a chunk: " + ", ".join(f"{r['class']} ({r['n_short']})" for r in bad))
 
-    def _weight(self) -> Column:
+    def _weighted(self, df: DataFrame) -> DataFrame:
+        """``df`` with its class's weight; classes without one are left out (see ``validate``)."""
         if self.class_weights is None:
-            return F.lit(1.0)
-        w = F.lit(1.0)
-        for k, v in self.class_weights.items():
-            w = F.when(F.col("class") == F.lit(k), F.lit(float(v))).otherwise(w)
-        return w
+            return df.withColumn("weight", F.lit(1.0))
+        if not self.class_weights:
+            return df.withColumn("weight", F.lit(1.0)).limit(0)
+        kind = dict(self.classes.dtypes)["class"]
+        w = df.sparkSession.createDataFrame([(k, float(v)) for k, v in self.class_weights.items()], f"class {kind}, weight double")
+        return df.join(F.broadcast(w), "class")  # a row a class, from the caller's dict
 
     def class_runs(self, n_obs: int) -> DataFrame:
         """class, start, stop of the runs within the mask, of classes that weigh anything."""
         a, b = g.resolve_mask(self.mask, n_obs)
         if self._runs is None or self._runs[0] != (a, b):  # found once a mask, written down
-            c = self.classes.where((F.col("obs_idx") >= a) & (F.col("obs_idx") < b)).where(self._weight() > 0)
+            c = self._weighted(self.classes.where((F.col("obs_idx") >= a) & (F.col("obs_idx") < b))).where("weight > 0")
             self._runs = (a, b), materialize(runs(c, "obs_idx", "class"), "runs")
         return self._runs[1]
 
@@ -313,7 +324,7 @@ class ClassSampler(Sampler):
 
     def probabilities(self, n_obs: int) -> DataFrame:
         """class, n_runs, weight, prob, lo, hi: shares of the classes present, laid end to end."""
-        p = self.class_runs(n_obs).groupBy("class").agg(F.count(F.lit(1)).alias("n_runs")).withColumn("weight", self._weight())
+        p = self._weighted(self.class_runs(n_obs).groupBy("class").agg(F.count(F.lit(1)).alias("n_runs")))
         all_, upto = Window.partitionBy(), Window.orderBy("class")  # one row a class
         total = F.sum("weight").over(all_)
         return p.select("class", "n_runs", "weight", (F.col("weight") / total).alias("prob"), ((F.sum("weight").over(upto) - F.col("weight")) / total).alias("lo"), (F.sum("weight").over(upto) / total).alias("hi"))
@@ -326,7 +337,10 @@ class ClassSampler(Sampler):
         d = spark.range(k).select(F.col("id").alias("slice_ord")).withColumn("draw", F.expr(f"slice_ord div {group}"))
         d = d.withColumn("u", u32(self.seed, "class", "draw") / F.lit(float(1 << 32)))
         p = self.probabilities(n_obs)
-        d = d.join(F.broadcast(p), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))  # one row a class
+        # A class is listed under the parts of [0, 1) that it touches, so the draw is an equi-join.
+        part = lambda c: F.floor(F.col(c) * GRID).cast("int")
+        p = p.withColumn("__g", F.explode(F.sequence(part("lo"), F.least(part("hi"), F.lit(GRID - 1))))).withColumnRenamed("lo", "__lo").withColumnRenamed("hi", "__hi")
+        d = d.withColumn("__g", part("u")).join(p, "__g").where((F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi")))
         d = d.withColumn("run_ord", draw(F.col("n_runs"), self.seed, "run", "slice_ord"))
         r = self.class_runs(n_obs).withColumn("run_ord", (F.row_number().over(Window.partitionBy("class").orderBy("start")) - 1).cast("bigint"))  # runs, not rows
         d = d.join(r.select("class", "run_ord", F.col("start").alias("a"), F.col("stop").alias("z")), ["class", "run_ord"])
@@ -353,8 +367,8 @@ class DistributedSampler(Sampler):
         self.rank, self.world = dist_info()
         if not 0 <= self.rank < self.world:
             raise ValueError("0 <= rank < world")
-        self.sampler, self.equal = sampler, enforce_equal_batches
-        sampler.seed = sampler.seed * 1_000_003 + self.rank
+        self.sampler, self.equal = copy.copy(sampler), enforce_equal_batches  # the caller's sampler stays as it is
+        self.sampler.seed = sampler.seed * 1_000_003 + self.rank
 
     batch_size = property(lambda self: self.sampler.batch_size)
     shuffle = property(lambda self: self.sampler.shuffle)
@@ -375,6 +389,11 @@ class DistributedSampler(Sampler):
         self.sampler.mask = self.shard(n_obs)
         return self.sampler.plan(spark, n_obs)
 
+    def masked(self, n_obs: int) -> Sampler:
+        """The wrapped sampler on this rank's shard."""
+        self.sampler.mask = self.shard(n_obs)
+        return self.sampler
+
 
 def shard_rows(n_obs: int, world: int, batch_size: int, equal: bool) -> int:
     per = n_obs // world

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shardloom.functions import geometry as g
 from shardloom.operators import census, compaction, index, matrix, schema_drift, shuffling
 from shardloom.plans import samplers as s
+from shardloom.queries import stored
 
 SEED = 7
 WEIGHTS = {"c0": 3, "c1": 1, "c2": 0, "c3": 2, "c4": 1}  # by the class's place in alphabetical order
@@ -309,10 +310,10 @@ def _src_index(spark, d):
 
 
 def _request(spark, d):
-    """Chunks of 50 rows listed from source 1, 2, then 0 (no involution)."""
+    """All rows, chunks of 50 listed from the last to the first of source 1, of 2, then of 0 (no involution)."""
     u, sizes = _src_index(spark, d)
     off = index.offsets(sizes)
-    req = [[slice(off[k][0] + j * 100, off[k][0] + j * 100 + 50) for k in (1, 2, 0) for j in range(min(3, sizes[k] // 150))]]
+    req = [[slice(off[k][0] + a, min(off[k][0] + a + 50, off[k][1])) for k in (1, 2, 0) if k in off for a in reversed(range(0, sizes[k], 50))]]
     return u, sizes, s.requests_plan(spark, req)
 
 
@@ -334,8 +335,8 @@ def sparse_basket_rows(spark, d):
 
 
 def _basket_request(spark, d):
-    """The orders whose hash asks for them, in hash order, each third one twice."""
-    o = _t(spark, d, "orders").where("o_orderkey % 11 = 3").select("o_orderkey")
+    """All orders in the order of their keys, each third one twice."""
+    o = _t(spark, d, "orders").select("o_orderkey")
     i = index.dense_index(o, "o_orderkey", "k")
     return i.withColumn("rep", F.explode(F.when(F.col("k") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select((F.col("k") * 2 + F.col("rep")).alias("pos"), F.col("o_orderkey").alias("obs"), F.expr("k div 64").alias("batch"))
 
@@ -399,8 +400,8 @@ def run_coalescing(spark, d):
 
 
 def auto_batches(spark, d):
-    """Batches for a custom plan without any: three requests of consecutive rows."""
-    p = _ev(spark, d).where("obs_idx < 900").select(F.expr("obs_idx div 300").alias("request_id"), (F.col("obs_idx") % 300).alias("pos"), "obs_idx", "event_id")
+    """Batches for a custom plan without any: requests of 300 consecutive rows."""
+    p = _ev(spark, d).select(F.expr("obs_idx div 300").alias("request_id"), (F.col("obs_idx") % 300).alias("pos"), "obs_idx", "event_id")
     return _big(s.auto_batches(p, 128, True, SEED).select("event_id", "request_id", "batch_id", "pos_in_batch"))
 
 
@@ -438,8 +439,9 @@ def queries() -> dict:
         | {
             "p2_found": lambda sp, d: schema_drift.changes(t(sp, d, "raw_records")).distinct(),
             "p2_columns": lambda sp, d: schema_drift.settled_columns(t(sp, d, "raw_records")),
-            "p2_table": lambda sp, d: schema_drift.settled_table(t(sp, d, "raw_records"), "obs"),
+            "p2_table": lambda sp, d: schema_drift.settled_table(t(sp, d, "raw_records")),
         }
+        | stored.queries()
     )
 
 
@@ -550,10 +552,9 @@ def _class_slices() -> str:
 
 _SRC = "sr AS (SELECT event_id, (user_id % 3)::BIGINT AS dataset FROM events), so AS (SELECT *, row_number() OVER (ORDER BY dataset, event_id) - 1 AS obs_idx, row_number() OVER (PARTITION BY dataset ORDER BY event_id) - 1 AS local_row FROM sr), sz AS (SELECT dataset, min(obs_idx) AS a, count(*) AS n FROM so GROUP BY 1)"
 _REQ = (
-    _SRC + ", rq AS (SELECT dataset, a + j * 100 AS start, j, CASE dataset WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS o FROM sz, (SELECT unnest(range(3)) AS j) WHERE j < least(3, n // 150)),"
-    " rf AS (SELECT *, (row_number() OVER (ORDER BY o, j) - 1) * 50 AS first FROM rq), rp AS (SELECT first + k AS pos, start + k AS obs_idx FROM rf, (SELECT unnest(range(50)) AS k))"
+    _SRC + ", rp AS (SELECT obs_idx, row_number() OVER (ORDER BY CASE dataset WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END, -(local_row // 50), local_row) - 1 AS pos FROM so)"
 )
-_BREQ = "oi AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_orderkey % 11 = 3), rq AS (SELECT k * 2 + rep AS pos, o_orderkey AS obs, k // 64 AS batch FROM oi, (SELECT unnest(range(2)) AS rep) WHERE rep = 0 OR k % 3 = 0)"
+_BREQ = "oi AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders), rq AS (SELECT k * 2 + rep AS pos, o_orderkey AS obs, k // 64 AS batch FROM oi, (SELECT unnest(range(2)) AS rep) WHERE rep = 0 OR k % 3 = 0)"
 _REC = (
     "fx AS (SELECT DISTINCT * FROM csr_files), ex AS (SELECT file_id, dataset, obs_names, indptr, indices, data, unnest(range(least(len(obs_names), len(indptr) - 1))) AS row_no FROM fx WHERE obs_names IS NOT NULL AND indptr IS NOT NULL),"
     " rw AS (SELECT file_id, row_no::BIGINT AS row_no, dataset, obs_names[row_no + 1] AS obs_name, indices[indptr[row_no + 1] - indptr[1] + 1 : indptr[row_no + 2] - indptr[1]] AS ii, data[indptr[row_no + 1] - indptr[1] + 1 : indptr[row_no + 2] - indptr[1]] AS vv FROM ex),"
@@ -568,7 +569,7 @@ def oracle_sql() -> dict[str, str]:
     shard = lambda eq: f"WITH {_EV}, pe AS (SELECT {'n // 3 - (n // 3) % 128' if eq else 'n // 3'} AS per FROM cnt) SELECT (obs_idx // per)::BIGINT AS rank, count(*)::BIGINT AS n, min(obs_idx)::BIGINT AS min_idx, max(obs_idx)::BIGINT AS max_idx FROM ev, pe WHERE obs_idx < per * 3 GROUP BY 1"
     cats = "CASE event_type " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATS)) + " END NULLS LAST,"
     values = lambda rows: ", ".join(str(tuple(r)) for r in rows)
-    return {
+    return stored.oracle_sql(_h, _epoch_ctes) | {
         "seq_batches": _seq(100, 4, 80),
         "seq_batches_drop_last": _seq(100, 12, 48, drop=True),
         "mask_window": _seq(100, 4, 50, f"(SELECT n * {MASK[0]} // 1000 FROM cnt)", f"(SELECT n * {MASK[1]} // 1000 FROM cnt)", total=False),
@@ -619,7 +620,7 @@ def oracle_sql() -> dict[str, str]:
         "shard_geometry_sparse": f"WITH t AS (SELECT * FROM (VALUES {values(SPARSE)}) t(n, nnz, ap, az)), c AS (SELECT *, least(greatest(1, floor(ap * (nnz::DOUBLE / n))), greatest(1, nnz))::BIGINT AS page, least(greatest(1, floor(az * (nnz::DOUBLE / n))), greatest(1, nnz))::BIGINT AS s FROM t) SELECT n::BIGINT AS n, nnz::BIGINT AS nnz, ap::BIGINT AS asked_page, az::BIGINT AS asked_shard, page, greatest(page, s - s % page)::BIGINT AS shard FROM c",
         "bytes_per_row": f"WITH {_BK}, b AS (SELECT count(DISTINCT obs) AS n, count(*) AS nnz FROM bk) SELECT 'basket' AS element, round((nnz * 8 + (n + 1) * 8)::DOUBLE / n, 6) AS bytes_per_row FROM b UNION ALL SELECT 'embedding', 256.0 UNION ALL SELECT 'events', 8 + 8 + 8 + 4 + 8 + 8.0 UNION ALL SELECT 'orders', 8 + 8 + 8 + 8 + 8 + 8.0",
         "run_coalescing": f"WITH {_EV}, f AS (SELECT obs_idx - row_number() OVER (ORDER BY obs_idx) AS g, obs_idx FROM ev WHERE value > 50) SELECT min(obs_idx)::BIGINT AS run_start, count(*)::BIGINT AS run_len FROM f GROUP BY g",
-        "auto_batches": f"WITH {_EV}, p AS (SELECT event_id, obs_idx // 300 AS request_id, obs_idx % 300 AS pos FROM ev ORDER BY event_id LIMIT 900), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_h('auto', 'request_id', 'pos')}, pos) - 1 AS rr FROM p), z AS (SELECT request_id, sum((n + 127) // 128) OVER (ORDER BY request_id) - (n + 127) // 128 AS b FROM (SELECT request_id, count(*) AS n FROM p GROUP BY 1)) SELECT event_id, request_id::BIGINT AS request_id, (b + rr // 128)::BIGINT AS batch_id, (rr % 128)::BIGINT AS pos_in_batch FROM r JOIN z USING (request_id)",
+        "auto_batches": f"WITH {_EV}, p AS (SELECT event_id, obs_idx // 300 AS request_id, obs_idx % 300 AS pos FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_h('auto', 'request_id', 'pos')}, pos) - 1 AS rr FROM p), z AS (SELECT request_id, sum((n + 127) // 128) OVER (ORDER BY request_id) - (n + 127) // 128 AS b FROM (SELECT request_id, count(*) AS n FROM p GROUP BY 1)) SELECT event_id, request_id::BIGINT AS request_id, (b + rr // 128)::BIGINT AS batch_id, (rr % 128)::BIGINT AS pos_in_batch FROM r JOIN z USING (request_id)",
         "p3_found": f"WITH {_REC} SELECT DISTINCT file_id, row_no FROM rn WHERE k > 1",
         "p3_kept": f"WITH {_REC} SELECT file_id, row_no, dataset::BIGINT AS dataset, obs_name, len(p)::BIGINT AS nnz, round(coalesce(list_sum(list_transform(p, lambda x: x[2]::DOUBLE)), 0), 3) AS total FROM rn WHERE k = 1",
     }
