@@ -555,6 +555,27 @@ _REQ = (
     _SRC + ", rp AS (SELECT obs_idx, row_number() OVER (ORDER BY CASE dataset WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END, -(local_row // 50), local_row) - 1 AS pos FROM so)"
 )
 _BREQ = "oi AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders), rq AS (SELECT k * 2 + rep AS pos, o_orderkey AS obs, k // 64 AS batch FROM oi, (SELECT unnest(range(2)) AS rep) WHERE rep = 0 OR k % 3 = 0)"
+# The fields of raw_records by file: fs(file_id, field, type), and the changes, as far as one
+# field has the evidence for one other: fo(file_id, change, old_field, new_field).
+_DRIFT = (
+    "rl AS (SELECT DISTINCT file_id, kind, store_id, written_at, line_no, rec_key, record FROM raw_records WHERE file_id IS NOT NULL),"
+    " fq AS (SELECT file_id, min(kind) AS kind, min(store_id) AS store_id, min(written_at) AS t FROM rl GROUP BY 1),"
+    " sq AS (SELECT file_id, kind, store_id, lag(file_id) OVER (PARTITION BY kind, store_id ORDER BY t, file_id) AS prev_id FROM fq),"
+    " rd AS (SELECT file_id, rec_key, line_no, record::JSON AS j FROM rl WHERE json_valid(record) AND json_type(record) = 'OBJECT'),"
+    " ky AS (SELECT file_id, rec_key, line_no, j, unnest(json_keys(j)) AS field FROM rd),"
+    " vl AS (SELECT file_id, rec_key, line_no, field, json_extract(j, '$.\"' || field || '\"') AS v FROM ky),"
+    " ty AS (SELECT *, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'double' ELSE 'integer' END AS type FROM vl),"
+    " fs AS (SELECT file_id, field, nullif(array_to_string(list_sort(CASE WHEN list_contains(l, 'double') THEN list_filter(l, lambda x: x <> 'integer') ELSE l END), '|'), '') AS type FROM (SELECT file_id, field, coalesce(list(DISTINCT type) FILTER (WHERE type IS NOT NULL), []) AS l FROM ty GROUP BY 1, 2)),"
+    " va AS (SELECT file_id, rec_key, field, arg_max({'v': CASE WHEN type IS NULL THEN NULL ELSE type || ':' || CASE WHEN type IN ('integer', 'double') THEN v::DOUBLE::VARCHAR ELSE v::VARCHAR END END}, (line_no, coalesce(v::VARCHAR, ''))).v AS val FROM ty GROUP BY 1, 2, 3),"
+    " pr AS (SELECT file_id, prev_id FROM sq WHERE prev_id IS NOT NULL),"
+    " nf AS (SELECT p.file_id, f.field FROM pr p JOIN fs f USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM fs o WHERE o.file_id = p.prev_id AND o.field = f.field)),"
+    " gf AS (SELECT p.file_id, p.prev_id, f.field FROM pr p JOIN fs f ON f.file_id = p.prev_id WHERE NOT EXISTS (SELECT 1 FROM fs n WHERE n.file_id = p.file_id AND n.field = f.field)),"
+    " ov AS (SELECT g.file_id, rec_key, g.field AS o, val AS x FROM gf g JOIN va ON va.file_id = g.prev_id AND va.field = g.field), nv AS (SELECT n.file_id, rec_key, n.field AS n, val AS y FROM nf n JOIN va USING (file_id, field)),"
+    " ev AS (SELECT file_id, o, n FROM ov JOIN nv USING (file_id, rec_key) GROUP BY ALL HAVING bool_and(x IS NOT DISTINCT FROM y) AND count(x) > 0),"
+    " fo AS (SELECT file_id, 'renamed' AS change, o AS old_field, n AS new_field FROM ev UNION ALL SELECT file_id, 'removed', field, '' FROM gf WHERE (file_id, field) NOT IN (SELECT (file_id, o) FROM ev)"
+    " UNION ALL SELECT file_id, 'added', '', field FROM nf WHERE (file_id, field) NOT IN (SELECT (file_id, n) FROM ev)"
+    " UNION ALL SELECT p.file_id, 'retyped', a.field, a.field FROM pr p JOIN fs a USING (file_id) JOIN fs b ON b.file_id = p.prev_id AND b.field = a.field WHERE a.type <> b.type)"
+)
 _REC = (
     "fx AS (SELECT DISTINCT * FROM csr_files), ex AS (SELECT file_id, dataset, obs_names, indptr, indices, data, unnest(range(least(len(obs_names), len(indptr) - 1))) AS row_no FROM fx WHERE obs_names IS NOT NULL AND indptr IS NOT NULL),"
     " rw AS (SELECT file_id, row_no::BIGINT AS row_no, dataset, obs_names[row_no + 1] AS obs_name, indices[indptr[row_no + 1] - indptr[1] + 1 : indptr[row_no + 2] - indptr[1]] AS ii, data[indptr[row_no + 1] - indptr[1] + 1 : indptr[row_no + 2] - indptr[1]] AS vv FROM ex),"
@@ -621,6 +642,15 @@ def oracle_sql() -> dict[str, str]:
         "bytes_per_row": f"WITH {_BK}, b AS (SELECT count(DISTINCT obs) AS n, count(*) AS nnz FROM bk) SELECT 'basket' AS element, round((nnz * 8 + (n + 1) * 8)::DOUBLE / n, 6) AS bytes_per_row FROM b UNION ALL SELECT 'embedding', 256.0 UNION ALL SELECT 'events', 8 + 8 + 8 + 4 + 8 + 8.0 UNION ALL SELECT 'orders', 8 + 8 + 8 + 8 + 8 + 8.0",
         "run_coalescing": f"WITH {_EV}, f AS (SELECT obs_idx - row_number() OVER (ORDER BY obs_idx) AS g, obs_idx FROM ev WHERE value > 50) SELECT min(obs_idx)::BIGINT AS run_start, count(*)::BIGINT AS run_len FROM f GROUP BY g",
         "auto_batches": f"WITH {_EV}, p AS (SELECT event_id, obs_idx // 300 AS request_id, obs_idx % 300 AS pos FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_h('auto', 'request_id', 'pos')}, pos) - 1 AS rr FROM p), z AS (SELECT request_id, sum((n + 127) // 128) OVER (ORDER BY request_id) - (n + 127) // 128 AS b FROM (SELECT request_id, count(*) AS n FROM p GROUP BY 1)) SELECT event_id, request_id::BIGINT AS request_id, (b + rr // 128)::BIGINT AS batch_id, (rr % 128)::BIGINT AS pos_in_batch FROM r JOIN z USING (request_id)",
+        "p2_found": f"WITH {_DRIFT} SELECT DISTINCT file_id, change, old_field, new_field FROM fo",
+        "p2_columns": (
+            f"WITH RECURSIVE {_DRIFT}, ti AS (SELECT DISTINCT kind, store_id, old_field AS o, new_field AS n FROM fo JOIN sq USING (file_id) WHERE change = 'renamed'),"
+            " ed AS (SELECT kind, store_id, o AS a, n AS b FROM ti UNION SELECT kind, store_id, n, o FROM ti), rr AS (SELECT kind, store_id, a, a AS b FROM ed UNION SELECT rr.kind, rr.store_id, rr.a, ed.b FROM rr JOIN ed ON rr.kind = ed.kind AND rr.store_id = ed.store_id AND rr.b = ed.a),"
+            " nm AS (SELECT kind, store_id, a AS field, arg_min(b, (CASE WHEN EXISTS (SELECT 1 FROM ti WHERE ti.kind = rr.kind AND ti.store_id = rr.store_id AND ti.n = rr.b) THEN 1 ELSE 0 END, b)) AS col FROM rr GROUP BY 1, 2, 3),"
+            " fl AS (SELECT DISTINCT kind, store_id, field, type FROM fs JOIN sq USING (file_id)), fc AS (SELECT kind, store_id, field, type, coalesce(col, field) AS col FROM fl LEFT JOIN nm USING (kind, store_id, field)),"
+            " tl AS (SELECT col, list(DISTINCT t) AS l FROM (SELECT col, unnest(string_split(type, '|')) AS t FROM fc WHERE type IS NOT NULL) GROUP BY 1), tw AS (SELECT col, CASE WHEN list_contains(l, 'double') THEN list_filter(l, lambda x: x <> 'integer') ELSE l END AS l FROM tl)"
+            ' SELECT DISTINCT kind, store_id, field, col AS "column", CASE WHEN len(l) = 1 AND l[1] <> \'object\' THEN l[1] ELSE \'string\' END AS type FROM fc LEFT JOIN tw USING (col)'
+        ),
         "p3_found": f"WITH {_REC} SELECT DISTINCT file_id, row_no FROM rn WHERE k > 1",
         "p3_kept": f"WITH {_REC} SELECT file_id, row_no, dataset::BIGINT AS dataset, obs_name, len(p)::BIGINT AS nnz, round(coalesce(list_sum(list_transform(p, lambda x: x[2]::DOUBLE)), 0), 3) AS total FROM rn WHERE k = 1",
     }

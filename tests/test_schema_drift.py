@@ -80,3 +80,37 @@ def test_settled_table(spark):
 
 def test_empty(spark):
     assert d.changes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_scores_decide_among_pairs_with_evidence():
+    """Both new fields hold the old one's values: the names and types around decide, and
+    without scores nothing is renamed."""
+    old, new = [("mean_expr", "integer"), ("z", "string")], [("meanExpr", "integer"), ("q", "string"), ("z", "string")]
+    ev = {("mean_expr", "meanExpr"): (3, 3, 3), ("mean_expr", "q"): (3, 3, 3)}
+    assert d.select_renames(old, new, ev) == [("mean_expr", "meanExpr")]
+    assert d.select_renames(old, new, ev, {}) == []
+    other = d.flood(old, new, ev) | {("mean_expr", "q"): 2.0}
+    assert d.select_renames(old, new, ev, other) == [("mean_expr", "q")]
+
+
+def test_nesting_tells_equal_names_apart():
+    """a.len and b.len become c.len and d.len, with the same values everywhere: what a and b
+    themselves became decides."""
+    old = [("a", "object"), ("b", "object"), ("a.len", "integer"), ("b.len", "integer")]
+    new = [("c", "object"), ("d", "object"), ("c.len", "integer"), ("d.len", "integer")]
+    all_ = {(f"{x}.len", f"{y}.len"): (5, 5, 5) for x in "ab" for y in "cd"}
+    assert set(d.select_renames(old, new, all_ | {("a", "d"): (5, 5, 5), ("b", "c"): (5, 5, 5)})) == {("a", "d"), ("b", "c"), ("a.len", "d.len"), ("b.len", "c.len")}
+
+
+def test_nested_renames(spark):
+    df = raw(spark, [(1, 1, 0, [("a", {"m": {"len": 3, "u": "x"}, "k": 1}), ("b", {"m": {"len": 4}})]), (2, 1, 1, [("a", {"m": {"length": 3, "u": 2}, "k": 1}), ("b", {"m": {"length": 4}})])])
+    assert changes(df) == set()
+    assert {tuple(r) for r in d.changes(df, depth=2).collect()} == {(2, "renamed", "m.len", "m.length"), (2, "retyped", "m.u", "m.u")}
+
+
+def test_table_of_all_kinds_keeps_every_readable_line(spark):
+    obs = raw(spark, [(1, None, 0, [("a", {"x": 1}), ("n", {"x": None}), ("e", {})]), (2, None, 1, [("a", {"y": 1}), ("b", "cut {")])])
+    var = raw(spark, [(5, 1, 0, [("g", {"x": 1.5, "v": True})])], kind="var")
+    t = d.settled_table(obs.unionAll(var))
+    assert dict(t.dtypes)["x"] == "double" and dict(t.dtypes)["v"] == "boolean"
+    assert {(r.kind, r.file_id, r.rec_key, r.x) for r in t.collect()} == {("obs", 1, "a", 1.0), ("obs", 1, "n", None), ("obs", 1, "e", None), ("obs", 2, "a", 1.0), ("var", 5, "g", 1.5)}
