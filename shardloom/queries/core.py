@@ -14,6 +14,7 @@ from shardloom.functions import geometry as g
 from shardloom.operators import census, compaction, index, matrix, schema_drift, shuffling
 from shardloom.plans import samplers as s
 from shardloom.queries import stored
+from shardloom.session import scratch_path
 
 SEED = 7
 WEIGHTS = {"c0": 3, "c1": 1, "c2": 0, "c3": 2, "c4": 1}  # by the class's place in alphabetical order
@@ -408,19 +409,29 @@ def auto_batches(spark, d):
 # -- small files, drifting schemas -----------------------------------------------
 
 
+def _compacted(spark: SparkSession, d: str) -> tuple[str, dict]:
+    out = scratch_path(spark, "compacted")
+    return out, compaction.compact(spark, _t(spark, d, "csr_files"), out)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """p3_found(file_id, row_no): record copies left out by the compaction."""
-    m = compaction.mark_copies(compaction.explode_files(_t(spark, d, "csr_files")))
-    return m.where("is_copy").select("file_id", "row_no").distinct()
+    """p3_found(file_id, row_no): record copies that the compaction left out."""
+    return compaction.left_out(spark, _compacted(spark, d)[0])
 
 
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The records that the compaction keeps, with the size and sum of their X row."""
-    m = compaction.mark_copies(compaction.explode_files(_t(spark, d, "csr_files").dropDuplicates())).where("NOT is_copy")
+    """The records in the compacted files, with the size and sum of their X row."""
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    m = spark.read.parquet(_compacted(spark, d)[0])
     return m.select("file_id", "row_no", F.col("dataset").cast("bigint").alias("dataset"), "obs_name", F.size("values").cast("bigint").alias("nnz"), F.round(total, 3).alias("total"))
 
 
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Files before, records kept, copies left out."""
+    info = _compacted(spark, d)[1]
+    return spark.createDataFrame([(_t(spark, d, "csr_files").distinct().count(), info["rows"], info["copies"])], "files_before bigint, n_rows bigint, copies bigint")
+
+
 def queries() -> dict:
     own = [
         seq_batches, seq_batches_drop_last, mask_window, random_chunks_epoch, random_drop_last, random_num_samples, random_masked, pivot_chunk_sizes,
@@ -429,7 +440,7 @@ def queries() -> dict:
         feature_remap, obs_names_unique, class_runs, class_run_violations, class_probabilities, class_mask_renormalized, class_plan,
         class_batches_coherent, worker_split, range_to_dataset, request_order_gather, sparse_basket_rows, sparse_row_gather, sparse_indptr,
         dense_gather, dense_batch_stats, dtype_promotion, shard_geometry_dense, shard_geometry_sparse, bytes_per_row, run_coalescing, auto_batches,
-        p3_found, p3_kept,
+        p3_found, p3_kept, p3_report,
     ]
     t = _t
     return (
@@ -652,5 +663,6 @@ def oracle_sql() -> dict[str, str]:
             ' SELECT DISTINCT kind, store_id, field, col AS "column", CASE WHEN len(l) = 1 AND l[1] <> \'object\' THEN l[1] ELSE \'string\' END AS type FROM fc LEFT JOIN tw USING (col)'
         ),
         "p3_found": f"WITH {_REC} SELECT DISTINCT file_id, row_no FROM rn WHERE k > 1",
+        "p3_report": f"WITH {_REC} SELECT (SELECT count(*) FROM fx)::BIGINT AS files_before, count(*) FILTER (WHERE k = 1)::BIGINT AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT file_id, row_no FROM rn WHERE k > 1))::BIGINT AS copies FROM rn",
         "p3_kept": f"WITH {_REC} SELECT file_id, row_no, dataset::BIGINT AS dataset, obs_name, len(p)::BIGINT AS nnz, round(coalesce(list_sum(list_transform(p, lambda x: x[2]::DOUBLE)), 0), 3) AS total FROM rn WHERE k = 1",
     }

@@ -51,3 +51,19 @@ def test_empty_table_and_checksum(spark, tmp_path):
     assert c.compact(spark, files(spark, []), f"file://{tmp_path}/e")["rows"] == 0
     a = spark.range(50).withColumn("v", F.col("id") % 3)
     assert c.checksum(a, ["id", "v"]) == c.checksum(a.repartition(9), ["id", "v"]) != c.checksum(a.unionAll(a.limit(1)), ["id", "v"])
+
+
+def test_one_file_id_with_other_records_and_other_columns(spark, tmp_path):
+    again = [(1, 0, "elsewhere", 2, *ROWS[0][4:8], "y"), (1, 0, "p", 1, ["q"], [0, 1], [4], [1.0], None)]
+    out = f"file://{tmp_path}/out"
+    info = c.compact(spark, files(spark, ROWS + again), out)
+    assert info["rows"] == 6 and {(r.file_id, r.row_no) for r in c.left_out(spark, out).collect()} == {(2, 0), (2, 2), (4, 0), (4, 1)}
+
+
+def test_a_failure_leaves_nothing_and_no_settings(spark, tmp_path, monkeypatch):
+    before = dict(spark.conf.getAll)
+    sums = iter([(1, 1, 1), (2, 2, 2)])
+    monkeypatch.setattr(c, "checksum", lambda *_: next(sums))
+    with pytest.raises(RuntimeError):
+        c.compact(spark, files(spark, ROWS), f"file://{tmp_path}/out")
+    assert not list(tmp_path.iterdir()) and dict(spark.conf.getAll) == before
