@@ -59,6 +59,14 @@ def oracle_sql() -> dict[str, str]:
             " SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM st GROUP BY doc_id"
         ),
         "p4_found": f"WITH {pools} SELECT DISTINCT plan_id, split_name, label FROM load_plans p LEFT JOIN po ON po.store_id = p.store_id AND po.k = {_LABEL.format('p.label')} WHERE coalesce(h, 0) * 1000 < share_pm * sample_size OR coalesce(h, 0) < min_rows",
+        "p4_sample": (
+            f"WITH {pools}, pl AS (SELECT DISTINCT plan_id, split_name, store_id, sample_size, label, share_pm, min_rows, {_LABEL.format('label')} AS k FROM load_plans), t AS (SELECT pl.*, coalesce(h, 0) AS h FROM pl LEFT JOIN po USING (store_id, k)),"
+            " ex AS (SELECT *, unnest(range(1, least(h, greatest(min_rows, CASE WHEN share_pm > 0 THEN sample_size ELSE 0 END)) + 1)) AS i FROM t), pr AS (SELECT *, CASE WHEN i <= least(h, min_rows) THEN -1.0::DOUBLE ELSE (i - 0.5)::DOUBLE / share_pm::DOUBLE END AS p FROM ex),"
+            " o AS (SELECT *, row_number() OVER (PARTITION BY plan_id, split_name ORDER BY p, k, i) AS n FROM pr), se AS (SELECT plan_id, split_name, store_id, k, label, max(i) AS seats FROM o WHERE p < 0 OR n <= sample_size GROUP BY ALL),"
+            f" rc AS (SELECT DISTINCT store_id, {_LABEL.format('label')} AS k, rec_id FROM cells WHERE label IS NOT NULL AND rec_id IS NOT NULL AND store_id IS NOT NULL),"
+            " rk AS (SELECT plan_id, split_name, label, rec_id, seats, row_number() OVER (PARTITION BY plan_id, split_name, label ORDER BY md5('7:draw:' || plan_id || ':' || split_name || ':' || rec_id), rec_id) AS r FROM se JOIN rc USING (store_id, k))"
+            " SELECT plan_id, split_name, label, rec_id FROM rk WHERE r <= seats"
+        ),
         "p7_found": (
             f"WITH iw AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL), ip AS (SELECT DISTINCT item_id, least(25, len(w)) AS n, unnest({runs('least(25, len(w))')}) AS r FROM iw WHERE len(w) > 0),"
             f" ns AS (SELECT DISTINCT n FROM ip), dw AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), dp AS (SELECT DISTINCT doc_id, n, unnest({runs('n')}) AS r FROM dw, ns WHERE len(w) >= n)"

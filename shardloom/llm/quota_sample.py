@@ -5,26 +5,36 @@ of a label with share ``s`` has priority (k - 0.5) / s. The first ``min_rows`` r
 of each label come first, then the smallest priorities of the whole draw. A label
 that runs out of records simply has no more priorities, so its seats go to the others.
 
-Seats are settled before any record is touched: a draw's label rows (a handful) know
-their pool sizes, and the priorities of a label form the regular sequence
-(k - 0.5)/s, so the sequence numbers are ranked, not the records. Records are then
-joined by (store, label) and kept up to the label's seats. Ranks come from
-``hashed_rank``: a label that holds a third of all rows is ranked by many tasks.
+Seats are settled before any record is touched: the priorities of a label form the
+regular sequence (k - 0.5)/s, so how many of them lie below a threshold is known in closed
+form. A draw's threshold is bisected over its labels (rows of the plan, a handful), ties
+at it go by label, and a draw of any size costs the same.
+
+Every draw has random ranks of its own, by a hash of (draw, record), so draws are
+independent. A draw's records are joined by (store, label); those whose hash is clearly beyond the
+seats are left out before anything is shuffled (where too few are left, the label is ranked whole),
+and the rest are ranked in pieces of the hash, so a label that holds a third of all rows is
+ranked by many tasks.
 
 Odd input: labels are the same ignoring case, and runs of whitespace, hyphens and
 underscores count as one blank and as none at the ends; an empty or null label is no
-label. A rec_id delivered twice is one record (rows of one rec_id that differ count
+label. Equal rows of the plan are one; null shares and minima count as 0. A rec_id delivered twice is one record (rows of one rec_id that differ count
 once per label they have). A share of 0 gets its floor only. If the floors exceed the
 sample size all floors are kept. An empty plan or table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.hashing import u64
-from shardloom.operators.ranks import hashed_rank
+from shardloom.hashing import md5_key
+from shardloom.operators.ranks import prefix_rank
+from shardloom.session import materialize
 
 DRAW = ["plan_id", "split_name"]
 
@@ -42,38 +52,80 @@ def pools(cells: DataFrame) -> DataFrame:
 def targets_with_pools(cells: DataFrame, plans: DataFrame) -> DataFrame:
     """The plan rows with ``h``, the number of distinct records of the label."""
     sizes = pools(cells).groupBy("store_id", "key").agg(F.count(F.lit(1)).alias("h"))
-    p = plans.select(*DRAW, "store_id", "sample_size", "label", "share_pm", "min_rows").withColumn("key", label_key(F.col("label")))
+    zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c)
+    p = plans.select(*DRAW, "store_id", zero("sample_size"), "label", zero("share_pm"), zero("min_rows")).distinct().withColumn("key", label_key(F.col("label")))
     return p.join(sizes, ["store_id", "key"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
 
 
+def settle(size: int, share: np.ndarray, floor: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Seats of labels (in the order in which ties go): the floors, then the smallest priorities
+    (k - 0.5) / share of k beyond the floor and up to ``have``, until there are ``size``."""
+    got = floor.astype(np.int64)
+    top = np.where(share > 0, have, floor).astype(np.int64)
+    if got.sum() >= size or (top <= got).all():
+        return got
+    live = share > 0
+
+    def below(limit: float) -> np.ndarray:
+        k = np.floor(limit * share + 0.5)
+        k += np.where(live, (k + 0.5) / np.where(live, share, 1) <= limit, 0)  # the division rounds
+        k -= np.where(live, (k - 0.5) / np.where(live, share, 1) > limit, 0)
+        return np.clip(k, got, top).astype(np.int64)
+
+    lo, hi = 0.0, float(((top[live] + 1) / share[live]).max())
+    if below(hi).sum() <= size:
+        return below(hi)
+    while (mid := (lo + hi) / 2) not in (lo, hi):
+        lo, hi = (mid, hi) if below(mid).sum() <= size else (lo, mid)
+    out = below(lo)
+    for i in np.flatnonzero(below(hi) > out)[: size - out.sum()]:  # those that tie at the threshold
+        out[i] += 1
+    return out
+
+
 def seats(cells: DataFrame, plans: DataFrame) -> DataFrame:
-    """The plan rows with ``seats``: how many records of the label the draw gets."""
+    """The plan rows with ``h`` and ``seats``: how many records of the label the draw gets."""
     t = targets_with_pools(cells, plans)
-    draw = Window.partitionBy(*DRAW)
-    floor = F.least(F.col("h"), F.col("min_rows").cast("bigint"))
-    share = F.col("share_pm").cast("double")
-    # With all labels unlimited a label never needs more than its exact quota + 1 beyond
-    # its floor; exhausted labels pass seats on, at most sample_size in all.
-    t = t.withColumn("__cap", F.least(F.col("h"), F.greatest(F.col("min_rows").cast("bigint"), F.when(F.col("share_pm") > 0, F.col("sample_size")).otherwise(0)).cast("bigint")))
-    k = t.where("__cap > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__cap"))))
-    k = k.withColumn("__p", F.when(F.col("__k") <= floor, F.lit(-1.0)).otherwise((F.col("__k") - 0.5) / share))
-    k = k.withColumn("__o", F.row_number().over(draw.orderBy("__p", "key", "__k")))
-    got = k.where((F.col("__p") < 0) | (F.col("__o") <= F.col("sample_size"))).groupBy(*DRAW, "key").agg(F.max("__k").alias("seats"))
-    return t.drop("__cap").join(got, [*DRAW, "key"], "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
+    cols = ["key", "label", "share_pm", "min_rows", "h"]
+    draws = t.groupBy(*DRAW, "store_id", "sample_size").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))  # a draw's labels
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for size, rows in zip(b["sample_size"], b["rows"]):
+                share, low, h = (np.array([r[c] for r in rows], np.int64) for c in ("share_pm", "min_rows", "h"))
+                got.append(settle(int(size), share.astype(float), np.clip(np.minimum(low, h), 0, None), h))
+            n = [len(x) for x in got]
+            flat = [r for rows in b["rows"] for r in rows]
+            own = b.loc[b.index.repeat(n), [*DRAW, "store_id", "sample_size"]].reset_index(drop=True)
+            yield own.assign(**{c: [r[c] for r in flat] for c in cols}, seats=np.concatenate(got) if got else [])
+
+    kinds = dict(t.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*DRAW, "store_id", "sample_size", *cols])
+    return draws.mapInPandas(each, f"{schema}, seats bigint")
 
 
 def sample(cells: DataFrame, plans: DataFrame, seed: int = 7) -> DataFrame:
-    """plan_id, split_name, label, rec_id of every draw. Each draw has its own random
-    ranks: it takes the ranks of the pool's order rotated by a hash of the draw."""
-    ranked = hashed_rank(pools(cells), ["store_id", "key"], u64(seed, F.col("rec_id"), F.col("key")), "rank")
-    s = seats(cells, plans).where("seats > 0")
-    turn = F.pmod(u64(seed, F.col("plan_id"), F.col("split_name"), F.col("key")), F.col("h"))
-    s = s.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("seats") - 1))).withColumn("rank", F.pmod(turn + F.col("__j"), F.col("h")) + 1)
-    return s.join(ranked, ["store_id", "key", "rank"]).select(*DRAW, "label", "rec_id")
+    """plan_id, split_name, label, rec_id of every draw, ranked by md5('seed:draw:plan:split:rec_id')."""
+    pool = materialize(pools(cells), "pools")
+    s = materialize(seats(cells, plans).where("seats > 0").withColumn("row", F.monotonically_increasing_id()), "seats")
+    # The share of hashes that almost surely holds the seats: 8 standard deviations and some more.
+    share = (F.col("seats") + 8 * F.sqrt(F.col("seats").cast("double")) + 40) / F.col("h")
+    s = s.withColumn("upto", F.when(share >= 1, F.lit(1 << 32)).otherwise((share * (1 << 32)).cast("bigint")))
+    d = s.join(pool, ["store_id", "key"]).select("row", *DRAW, "label", "rec_id", "seats", "upto", md5_key(seed, "draw", "plan_id", "split_name", "rec_id").alias("hash"))
+    first = d.where(F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint") < F.col("upto"))
+    first = materialize(prefix_rank(first.drop("upto"), ["row"], F.concat("hash", F.lpad(F.col("rec_id").cast("string"), 20, "0")), "rank").where("rank <= seats").drop("hash", "rank"), "drawn")
+    short = s.join(first.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "row", "left").where("coalesce(n, 0) < seats").select("row")
+    short = materialize(short, "short")
+    if short.isEmpty():
+        return first.select(*DRAW, "label", "rec_id")
+    again = d.join(short, "row", "left_semi").drop("upto")
+    again = prefix_rank(again, ["row"], F.concat("hash", F.lpad(F.col("rec_id").cast("string"), 20, "0")), "rank").where("rank <= seats")
+    return first.join(short, "row", "left_anti").select(*DRAW, "label", "rec_id").unionAll(again.select(*DRAW, "label", "rec_id"))
 
 
 def found(cells: DataFrame, plans: DataFrame) -> DataFrame:
-    """p4_found(plan_id, split_name, label): labels whose target cannot be met."""
-    t = targets_with_pools(cells, plans)
-    short = (F.col("h") * 1000 < F.col("share_pm").cast("bigint") * F.col("sample_size")) | (F.col("h") < F.col("min_rows"))
+    """p4_found(plan_id, split_name, label): labels of the settled draws whose target cannot be met."""
+    t = seats(cells, plans)
+    short = (F.col("h") * 1000 < F.col("share_pm") * F.col("sample_size")) | (F.col("h") < F.col("min_rows"))
     return t.where(short).select(*DRAW, "label").distinct()
