@@ -15,13 +15,11 @@ expectation, so rounds grow with the logarithm of the edges.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.hashing import u64
-from shardloom.session import materialize, shared_dir
+from shardloom.hashing import md5_key
+from shardloom.session import discard, materialize, scratch_path
 
 
 def _heads(v: str) -> Column:
@@ -37,7 +35,7 @@ def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFr
     salt is a column, so all rounds run the same compiled code.
     """
     spark = edges.sparkSession
-    at = f"{shared_dir(spark)}/shardloom/{uuid.uuid4().hex}"
+    at = scratch_path(spark, "rounds")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(at).getFileSystem(conf)
@@ -65,7 +63,8 @@ def components(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFr
     up = spark.read.schema("a bigint, b bigint").parquet(*made).select(F.col("a").alias("v"), F.col("b").alias("root"))
     for _ in range(max(0, (len(made) - 1).bit_length())):
         nxt = up.select(F.col("v").alias("root"), F.col("root").alias("higher"))
-        up = materialize(up.join(nxt, "root", "left").select("v", F.coalesce("higher", "root").alias("root")), "roots")
+        last, up = up, materialize(up.join(nxt, "root", "left").select("v", F.coalesce("higher", "root").alias("root")), "roots")
+        discard(last)
     return up.unionAll(up.select(F.col("root").alias("v"), "root").distinct())
 
 
@@ -130,25 +129,32 @@ def found(cells: DataFrame, seed: int = 7) -> DataFrame:
     return g.join(size, "group").select("rec_id", "group_donor")
 
 
-def assign_splits(cells: DataFrame, shares: dict[str, float] | None = None, seed: int = 7, slots: int = 1 << 16) -> DataFrame:
-    """rec_id, group, split. Components are laid out by hash along the cumulative weight
-    (records) and a split is the stretch of the total its share covers, so proportions
-    hold to within the one component at each border. The running total is taken over
-    ``slots`` hash slots first and inside a slot second: no single task sorts all groups.
+def assign_splits(cells: DataFrame, shares: dict[str, float] | None = None, seed: int = 7, digits: int = 4) -> DataFrame:
+    """rec_id, group (the smallest rec_id of the linked group), split. Groups are laid out by
+    md5('seed:group:id') along the cumulative weight (records) and a split is the stretch of the
+    total its share covers, so proportions hold to within the one group at each border. The running total is taken over
+    the first ``digits`` hex digits first and inside such a slot second: no single task sorts all groups.
     """
-    from pyspark.sql import Window
-
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     if any(s < 0 for s in shares.values()) or abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must be >= 0 and add up to 1")
     g = materialize(linked_groups(cells, seed), "groups")
-    w = g.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("h", u64(seed, F.col("group"))).withColumn("slot", F.pmod("h", F.lit(slots)))
+    w = g.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("id"))
+    w = w.withColumn("h", md5_key(seed, "group", "id")).withColumn("slot", F.substring("h", 1, digits))
     per = w.groupBy("slot").agg(F.sum("n").alias("sn"))
-    per = per.select("slot", (F.sum("sn").over(Window.orderBy("slot")) - F.col("sn")).alias("base"), F.sum("sn").over(Window.partitionBy()).alias("total"))  # at most ``slots`` rows
-    mid = F.col("base") + F.sum("n").over(Window.partitionBy("slot").orderBy("h", "group")) - F.col("n") / 2
-    at = w.join(per, "slot").select("group", (mid / F.col("total")).alias("at"))
-    split, upto = F.lit(list(shares)[-1]), 1.0
+    per = per.select("slot", (F.sum("sn").over(Window.orderBy("slot")) - F.col("sn")).alias("base"), F.sum("sn").over(Window.partitionBy()).alias("total"))  # 16**digits rows
+    mid = F.col("base") + F.sum("n").over(Window.partitionBy("slot").orderBy("h", "id")) - F.col("n") / 2
+    at = w.join(per, "slot").select("group", "id", (mid / F.col("total")).alias("at"))
+    split = F.lit(list(shares)[-1])
+    for name, upto in reversed(borders(shares)):
+        split = F.when(F.col("at") < upto, F.lit(name)).otherwise(split)
+    return g.join(at, "group").select("rec_id", F.col("id").alias("group"), split.alias("split"))
+
+
+def borders(shares: dict[str, float]) -> list[tuple[str, float]]:
+    """Each split's end on [0, 1], a trifle beyond so that rounding excludes nobody."""
+    out, upto = [], 1.0
     for name in reversed(list(shares)):
-        split = F.when(F.col("at") < upto + 1e-12, F.lit(name)).otherwise(split)
+        out.append((name, upto + 1e-12))
         upto -= shares[name]
-    return g.join(at, "group").select("rec_id", "group", split.alias("split"))
+    return out[::-1]

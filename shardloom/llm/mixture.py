@@ -14,10 +14,10 @@ ones called mix_id or copy_no get the suffix _doc.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.hashing import u64
+from shardloom.hashing import u32
 
 BLANKS = " \t\n\r\f\v"
 
@@ -58,14 +58,14 @@ def mixture_rates(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """The mixture: every document floor(rate) times plus once more with the
-    probability of the fraction, decided by a hash of (seed, mix, doc_id, text), with
+    probability of the fraction, decided by md5('seed:mix:mix_id:doc_id'), with
     ``mix_id`` and ``copy_no``. The rates are one row a mix and source and the plan
     lets adaptive execution broadcast them; the documents are not shuffled then."""
     r = mixture_rates(documents, targets).select(F.col("mix_id"), F.col("key").alias("__key"), F.col("rate").alias("__rate"))
     d = documents.withColumnsRenamed({c: f"{c}_doc" for c in ("mix_id", "copy_no") if c in documents.columns})
     d = d.where(F.col("text").isNotNull()).withColumn("__key", source_key(F.col("source")))
     j = d.join(r, "__key")
-    u = (F.shiftright(u64(seed, F.col("mix_id"), F.col("doc_id"), F.col("text")), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+    u = u32(seed, "mix", "mix_id", "doc_id") / F.lit(float(1 << 32))
     n = (F.floor("__rate") + F.when(u < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
     return j.withColumn("__n", n).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__key", "__rate", "__n")
 
@@ -73,8 +73,6 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """mix_id, source, rate, wanted and reached tokens, reached share (of the mixture)."""
     out = mix(documents, targets, seed).groupBy("mix_id", source_key(F.col("source")).alias("key")).agg(F.sum(F.octet_length("text")).cast("bigint").alias("reached"), F.count(F.lit(1)).alias("copies"))
-    from pyspark.sql import Window
-
     r = mixture_rates(documents, targets).join(out, ["mix_id", "key"], "left")
     got = F.coalesce(F.col("reached"), F.lit(0)).cast("bigint")
     all_ = F.sum(got).over(Window.partitionBy("mix_id"))

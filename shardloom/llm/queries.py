@@ -35,6 +35,25 @@ _LABEL = "trim(regexp_replace(lower({0}), '[\\s_-]+', ' ', 'g'))"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def _also(sql: dict[str, str]) -> dict[str, str]:
+    """With the queries that follow from another's rows."""
+    shares = " ".join(f"WHEN mid / total < {upto!r}::DOUBLE THEN '{name}'" for name, upto in linked_splits.borders({"train": 0.8, "validation": 0.1, "test": 0.1}))
+    linked = sql["p5_found"]
+    groups = linked[: linked.index(", sz AS (")]
+    return sql | {
+        "p5_splits": (
+            f"{groups}, al AS (SELECT DISTINCT c.rec_id, root FROM cells c LEFT JOIN g USING (rec_id) WHERE c.rec_id IS NOT NULL), gi AS (SELECT rec_id, coalesce(min(rec_id) OVER (PARTITION BY root), rec_id) AS id, root FROM al),"
+            " gf AS (SELECT rec_id, CASE WHEN root IS NULL THEN rec_id ELSE id END AS grp FROM gi), gw AS (SELECT grp, count(*) AS n FROM gf GROUP BY 1),"
+            " gm AS (SELECT grp, sum(n) OVER (ORDER BY md5('7:group:' || grp), grp) - n / 2 AS mid, sum(n) OVER () AS total FROM gw)"
+            f' SELECT rec_id, grp AS "group", CASE {shares} ELSE \'test\' END AS split FROM gf JOIN gm USING (grp)'
+        ),
+        "p7_items": f"SELECT item_id, suite, n_docs FROM (SELECT item_id, count(*)::BIGINT AS n_docs FROM ({sql['p7_found']}) GROUP BY 1) JOIN (SELECT DISTINCT item_id, suite FROM eval_items) USING (item_id)",
+        "p9_report": (
+            f"SELECT doc_id, n_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0.0::DOUBLE END AS share FROM (SELECT doc_id, max(length(text))::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1) LEFT JOIN ({sql['p9_found']}) USING (doc_id)"
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that are plain counting or containment; the others are tested
     against brute force in tests/llm."""
@@ -50,7 +69,7 @@ def oracle_sql() -> dict[str, str]:
         " ks AS (SELECT rec_id, 'd' || dn AS k FROM d WHERE dn IS NOT NULL UNION SELECT rec_id, 's' || s FROM d WHERE s <> '' UNION SELECT rec_id, 'o' || o FROM d WHERE o <> '' AND NOT regexp_full_match(o, '[0-9]+')),"
         " mk AS (SELECT rec_id, min(k) AS k0 FROM ks GROUP BY 1), e AS (SELECT k0 AS a, k AS b FROM ks JOIN mk USING (rec_id) WHERE k0 <> k UNION SELECT k, k0 FROM ks JOIN mk USING (rec_id) WHERE k0 <> k), vs AS (SELECT DISTINCT k AS v FROM ks)"
     )
-    return {
+    return _also({
         "p1_found": f"WITH {links.format(entries + ', pr AS (SELECT x.rec_id AS a, y.rec_id AS b FROM un x JOIN un y ON x.f = y.f AND x.rec_id < y.rec_id GROUP BY 1, 2 HAVING sum(x.v * y.v) >= 0.7), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), vs AS (SELECT DISTINCT a AS v FROM e)')}, sz AS (SELECT root FROM ro GROUP BY root HAVING count(*) >= 3) SELECT a AS rec_id, root AS cluster_rec FROM ro JOIN sz USING (root)",
         "p5_found": f"WITH {links.format(keys)}, g AS (SELECT rec_id, root FROM mk JOIN ro ON k0 = a), sz AS (SELECT root, min(dn) AS group_donor FROM g JOIN d USING (rec_id) GROUP BY root HAVING count(DISTINCT rec_id) >= 2) SELECT rec_id, group_donor FROM g JOIN sz USING (root)",
         "p9_found": (
@@ -73,4 +92,12 @@ def oracle_sql() -> dict[str, str]:
             " SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (n, r)"
         ),
         "p8_found": f"WITH {size} SELECT DISTINCT mix_id, source FROM mix_targets m LEFT JOIN sz ON lower(trim(m.source, {_BLANKS})) = k, tt WHERE weight_bp::HUGEINT * budget_pct * total > max_repeats::HUGEINT * coalesce(tokens, 0) * 1000000",
-    }
+        "p8_report": (
+            f"WITH {size}, rt AS (SELECT m.*, coalesce(tokens, 0) AS tok, weight_bp / 10000.0::DOUBLE * budget_pct / 100 * total::DOUBLE AS wanted, weight_bp::HUGEINT * budget_pct * total > max_repeats::HUGEINT * coalesce(tokens, 0) * 1000000 AS short, lower(trim(m.source, {_BLANKS})) AS key FROM mix_targets m LEFT JOIN sz ON lower(trim(m.source, {_BLANKS})) = k, tt),"
+            " ra AS (SELECT *, CASE WHEN tok > 0 THEN least(wanted / tok::DOUBLE, max_repeats::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM rt),"
+            f" dc AS (SELECT doc_id, lower(trim(source, {_BLANKS})) AS key, strlen(text) AS b FROM documents WHERE text IS NOT NULL),"
+            " em AS (SELECT mix_id, key, b, floor(rate) + CASE WHEN ('0x' || substr(md5('7:mix:' || mix_id || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS c FROM dc JOIN ra USING (key)),"
+            " ou AS (SELECT mix_id, key, sum(b * c)::BIGINT AS reached, sum(c)::BIGINT AS copies FROM em GROUP BY 1, 2), re AS (SELECT ra.*, coalesce(reached, 0) AS r, coalesce(copies, 0) AS c FROM ra LEFT JOIN ou USING (mix_id, key))"
+            " SELECT mix_id, source, rate, trunc(wanted)::BIGINT AS wanted, r::BIGINT AS reached, c::BIGINT AS copies, CASE WHEN sum(r) OVER (PARTITION BY mix_id) > 0 THEN r / (sum(r) OVER (PARTITION BY mix_id))::BIGINT ELSE 0.0::DOUBLE END AS share, short FROM re"
+        ),
+    })
