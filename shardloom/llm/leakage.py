@@ -33,13 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.llm._hash import BASE as _B
+from shardloom.llm._hash import mix as _mix
+from shardloom.llm._hash import powers as _pow
+
 WINDOW = 25
 SHINGLE = 5
 MAX_INDEX = 2_000_000
 CHUNK = 1 << 20
 
 _U = np.uint64
-_B = 0x9E3779B97F4A7C15
 _FOLD = np.zeros(256, np.uint8)  # 0: between words
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _FOLD[_c] = _c
@@ -47,21 +50,6 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _FOLD[_c] = _c + 32
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> _U(31))
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(27)
-    h *= _U(0x94D049BB133111EB)
-    h ^= h >> _U(32)
-    return h
-
-
-def _pow(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Words:
     """Words of byte strings as 64-bit hashes."""
 

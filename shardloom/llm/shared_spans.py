@@ -40,32 +40,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.llm._hash import BASE as _B
+from shardloom.llm._hash import mix as _mix
+from shardloom.llm._hash import powers as _powers
 from shardloom.session import materialize
 
 SPAN = 200
 GRAM = 32
 SEGMENT = 1 << 20
-_B = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _U = np.uint64
 _TOP = _U(_M)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> _U(31))
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(27)
-    h *= _U(0x94D049BB133111EB)
-    h ^= h >> _U(32)
-    return h
-
-
 class Hasher:
     """Hashes of any substring of a code point array, each in constant time."""
 
