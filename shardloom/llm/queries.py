@@ -26,6 +26,7 @@ def queries() -> dict:
         "p7_items": lambda s, d: leakage.item_report(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_found": lambda s, d: mixture.found(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_found": lambda s, d: shared_spans.shared_chars(t(s, d, "documents")),
+        "p9_factors": lambda s, d: shared_spans.parse(t(s, d, "documents")),
         "p9_report": lambda s, d: shared_spans.report(t(s, d, "documents")),
         "p8_report": lambda s, d: mixture.mixture_report(t(s, d, "documents"), t(s, d, "mix_targets")),
     }

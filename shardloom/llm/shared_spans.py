@@ -1,25 +1,28 @@
-"""Long exact spans shared between records, by relative Lempel-Ziv factoring.
+"""Long exact spans shared between records, by relative Lempel-Ziv parsing.
 
-A span of at least ``span`` characters that stands in two documents contains, in both
+The reference is what all documents hold, each piece of it once. It is cut into blocks, and
+a document is factored against the blocks that can hold a factor of ``span`` characters or more;
+which those are is decided without loss: a span of at least ``span`` characters that stands in two documents contains, in both
 at the same place, an *anchor*: a ``gram``-character piece whose hash is the smallest of
 some full window of ``span`` characters (winnowing; its choice depends on the window's
-text alone). Anchors therefore index the reference: the documents that could share a
-factor with a document are those under its anchors' hashes, and nothing else is read.
-
-The parse runs in three steps.
-
-1. *Factors over the anchor's whole reach.* The reach of an anchor is the text up to
-   ``span - gram`` characters to both sides, all a span of ``span`` characters around
-   it can touch. If another document has the same reach (equal 64+64-bit hashes), the
-   factor is copied whole; what lies further out belongs to the next anchor. Copies,
-   however many, meet here as one (anchor, reach) with a least and a greatest doc_id.
-2. *Factor boundaries.* A reach that one document alone has, under an anchor that others
-   share, is where its factors against the others begin or end. Only these reaches are
-   cut out as text, one per distinct reach, and factored against the reference block of
-   their anchor: an index of all ``span``-character pieces of all the block's reaches.
-   Blocks are bounded; an anchor with more reaches than ``block`` has its pieces
-   indexed by a distributed aggregation instead, with the same result.
-3. *Coverage.* The factors of a document are united and their characters counted.
+text alone). A block is all that stands around the occurrences of one anchor: the text up to
+``span - gram`` characters to both sides of it (its *reach*), all that a window of
+``span`` characters around it can touch. So a match of that length lies in
+the blocks of the anchors inside it, and what lies further out belongs to the next anchor.
+
+1. *Index.* A block's distinct reaches, by hash, each with its first and its last document and its place
+   there (of copies, however many, two are enough to name another document's).
+2. *Factors.* A reach that the block has from another document is copied whole, as one factor
+   (place, length, source, place in the source). A reach that no other document has, in a block of several, holds a factor's
+   beginning or end: only those are cut out as text, one per distinct reach, and factored
+   against an index of all ``span``-character pieces of the block, each factor being the longest run
+   of pieces from one source. Blocks are bounded; an anchor with more reaches than ``block`` has
+   its pieces indexed by a distributed aggregation instead, with the same result.
+3. *Parse.* Along a document, factors from one source at one distance are one match, as long as they
+   touch. The text is parsed from left to right: at each place the match that leads furthest is
+   taken, at its end the next one, which is looked for across the boundary, among all matches that
+   began before it; where no match leads on, characters are literals up to the next match.
+   The factors so chosen cover what is shared.
 
 No pairs of documents are made at any point, whole texts are parsed in overlapping
 segments so that memory does not grow with a text's length, and a span is shared only if
@@ -197,22 +200,29 @@ def _factor(batches: Iterator[pd.DataFrame], span: int, gram: int) -> Iterator[p
         off = np.tile(np.arange(x.shape[1]), (len(b), 1))[ok]
         key = x[ok]
         doc, last = b["doc_id"].to_numpy(), b["last_doc"].to_numpy()
-        o = np.argsort(key)
+        o = np.lexsort((doc[row], key))
         cut = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
-        lo_doc = np.minimum.reduceat(doc[row[o]], cut)
-        hi_doc = np.maximum.reduceat(last[row[o]], cut)
-        shared = np.zeros(len(key), bool)
-        shared[o] = np.repeat(lo_doc != hi_doc, np.diff(np.append(cut, len(key))))
-        shared &= b["alone"].to_numpy()[row]
-        row, off = row[shared], off[shared]
+        times = np.diff(np.append(cut, len(key)))
+        # A piece's first document, and its last with a row that has it.
+        lo_at, hi_at = o[cut], np.lexsort((-last[row], key))[cut]
+        lo_row, hi_row = row[lo_at], row[hi_at]
+        pos, last_pos = b["pos"].to_numpy(), b["last_pos"].to_numpy()
+        lo_place, hi_place = pos[lo_row] + off[lo_at], last_pos[hi_row] + off[hi_at]  # a piece may stand elsewhere around its anchor
+        group = np.empty(len(key), np.int64)
+        group[o] = np.repeat(np.arange(len(cut)), times)
+        own = b["alone"].to_numpy()[row] & (doc[lo_row] != last[hi_row])[group]
+        row, off, group = row[own], off[own], group[own]
         if not len(row):
-            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64), "hi": np.zeros(0, np.int64)})
-        # Pieces next to each other are one factor.
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)])
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "lo", "hi", "src", "src_lo")})
+        other = doc[lo_row[group]] != doc[row]
+        src = np.where(other, doc[lo_row[group]], last[hi_row[group]])
+        at = np.where(other, lo_place[group], hi_place[group]) - off
+        # Pieces next to each other from one source are one factor.
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1])])
         first = np.flatnonzero(new)
         end = np.append(first[1:], len(row)) - 1
-        start = b["pos"].to_numpy()[row[first]] - side + off[first]
-        return pd.DataFrame({"doc_id": doc[row[first]], "lo": start, "hi": b["pos"].to_numpy()[row[end]] - side + off[end] + span})
+        start = pos[row[first]] - side + off[first]
+        return pd.DataFrame({"doc_id": doc[row[first]], "lo": start, "hi": pos[row[end]] - side + off[end] + span, "src": src[first], "src_lo": at[first] - side + off[first]})
 
     held: list[pd.DataFrame] = []
     count = 0
@@ -241,62 +251,114 @@ def _piece_rows(batches: Iterator[pd.DataFrame], span: int, gram: int) -> Iterat
             x, ok = _pieces(_matrix(list(z["text"]), z["left"].to_numpy(), span, gram), hasher, z["h"].to_numpy(), span)
             row = np.repeat(np.arange(len(z)), x.shape[1]).reshape(x.shape)[ok]
             off = np.tile(np.arange(x.shape[1]), (len(z), 1))[ok]
-            start = z["pos"].to_numpy()[row] - side + off
-            yield pd.DataFrame({"piece": x[ok].view(np.int64), "doc_id": z["doc_id"].to_numpy()[row], "last_doc": z["last_doc"].to_numpy()[row], "alone": z["alone"].to_numpy()[row], "lo": start, "hi": start + span})
+            start, last = (z[c].to_numpy()[row] - side + off for c in ("pos", "last_pos"))
+            yield pd.DataFrame({"piece": x[ok].view(np.int64), "doc_id": z["doc_id"].to_numpy()[row], "last_doc": z["last_doc"].to_numpy()[row], "alone": z["alone"].to_numpy()[row], "lo": start, "last_lo": last})
 
 
 def shared_factors(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = 4096) -> DataFrame:
-    """doc_id, lo, hi (half-open, code points): factors of at least ``span`` characters that
-    stand verbatim in another document. Factors of a document may overlap; every shared
+    """doc_id, lo, hi (half-open, code points), src, src_lo: factors of at least ``span`` characters that
+    stand verbatim in the document src, from src_lo on. Factors of a document may overlap; every shared
     character is in one."""
     if not 8 <= gram <= span <= 1000:
         raise ValueError("8 <= gram <= span <= 1000")
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     found = materialize(docs.mapInPandas(lambda it: _find(it, span, gram), "h bigint, reach bigint, doc_id bigint, place bigint"), "anchors")
 
-    # Anchors of two documents or more; a reach and its documents.
+    # The blocks of two documents or more; a reach with its first and last document.
     shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
     under = found.join(shared, "h", "left_semi")
+    at = F.struct("doc_id", "place")
     reaches = materialize(
-        under.groupBy("h", "reach").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("places"))
-        .select("h", "reach", F.col("at.doc_id").alias("doc_id"), F.col("at.place").alias("place"), "last_doc", "places"),
+        under.groupBy("h", "reach").agg(F.min(at).alias("at"), F.max(at).alias("last"), F.count(F.lit(1)).alias("places"))
+        .select("h", "reach", F.col("at.doc_id").alias("doc_id"), F.col("at.place").alias("place"), F.col("last.doc_id").alias("last_doc"), F.col("last.place").alias("last_place"), "places"),
         "reaches",
     )
-    pos = F.shiftright("place", 20)
+    pos, last_pos = F.shiftright("place", 20), F.shiftright("last_place", 20)
     left, right = F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
-    many = reaches.where("doc_id <> last_doc").select("h", "reach")
-    whole = found.join(many, ["h", "reach"], "left_semi").select("doc_id", (pos - left).alias("lo"), (pos + gram + right).alias("hi"))
+    many = reaches.where("doc_id <> last_doc").select("h", "reach", F.col("doc_id").alias("d1"), pos.alias("p1"), F.col("last_doc").alias("d2"), last_pos.alias("p2"))
+    other = F.col("d1") != F.col("doc_id")
+    whole = found.join(many, ["h", "reach"]).select("doc_id", (pos - left).alias("lo"), (pos + gram + right).alias("hi"), F.when(other, F.col("d1")).otherwise(F.col("d2")).alias("src"), (F.when(other, F.col("p1")).otherwise(F.col("p2")) - left).alias("src_lo"))
 
-    # Boundaries: reaches of one document, with all reaches of their anchors.
-    here = reaches.select("h", "doc_id", "place", "last_doc")
+    # Boundaries: reaches of one document, with all reaches of their block.
+    here = reaches.select("h", "doc_id", "place", "last_doc", "last_place")
     again = reaches.where("doc_id = last_doc AND places > 1")
     if not again.isEmpty():  # one document has the reach at several places; each needs its factors
         more = found.join(again.select("h", "reach", F.col("place").alias("first")), ["h", "reach"]).where("place <> first")
-        here = here.unionAll(more.select("h", "doc_id", "place", F.col("doc_id").alias("last_doc")))
+        here = here.unionAll(more.select("h", "doc_id", "place", F.col("doc_id").alias("last_doc"), F.col("place").alias("last_place")))
     sizes = here.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("last_doc")).alias("any")).where("n > 1 AND any").select("h", "n")
-    cuts = here.join(sizes, "h").select("h", "doc_id", "last_doc", "n", pos.alias("pos"), left.cast("int").alias("left"), right.cast("int").alias("right"))
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("h", "last_doc", "n", "pos", "left", "right")).alias("c"))  # as many as a document has anchors
+    cuts = here.join(sizes, "h").select("h", "doc_id", "last_doc", "n", pos.alias("pos"), last_pos.alias("last_pos"), left.cast("int").alias("left"), right.cast("int").alias("right"))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("h", "last_doc", "n", "pos", "last_pos", "left", "right")).alias("c"))  # as many as a document has anchors
     cut = docs.join(cuts, "doc_id").withColumn("c", F.explode("c"))
     cut = cut.select("doc_id", "c.*", F.expr(f"substring(text, cast(c.pos - c.left + 1 AS int), c.left + {gram} + c.right)").alias("text"))
-    cut = cut.select("h", "doc_id", "last_doc", (F.col("doc_id") == F.col("last_doc")).alias("alone"), "n", "pos", "left", "text")
+    cut = cut.select("h", "doc_id", "last_doc", (F.col("doc_id") == F.col("last_doc")).alias("alone"), "n", "pos", "last_pos", "left", "text")
     cut = materialize(cut, "reach_texts")
-    schema = "doc_id bigint, lo bigint, hi bigint"
+    schema = "doc_id bigint, lo bigint, hi bigint, src bigint, src_lo bigint"
     small = cut.where(F.col("n") <= block).drop("n").repartition("h").sortWithinPartitions("h")
     edge = small.mapInPandas(lambda it: _factor(it, span, gram), schema)
-    rows = cut.where(F.col("n") > block).drop("n").mapInPandas(lambda it: _piece_rows(it, span, gram), "piece bigint, doc_id bigint, last_doc bigint, alone boolean, lo bigint, hi bigint")
     if not cut.where(F.col("n") > block).isEmpty():
-        both = rows.groupBy("piece").agg(F.min("doc_id").alias("p"), F.max("last_doc").alias("q")).where("p <> q").select("piece")
-        edge = edge.unionAll(rows.where("alone").join(both, "piece", "left_semi").select("doc_id", "lo", "hi"))
+        rows = cut.where(F.col("n") > block).drop("n").mapInPandas(lambda it: _piece_rows(it, span, gram), "piece bigint, doc_id bigint, last_doc bigint, alone boolean, lo bigint, last_lo bigint")
+        both = rows.groupBy("piece").agg(F.min(F.struct("doc_id", "lo")).alias("p"), F.max(F.struct("last_doc", "last_lo")).alias("q")).where("p.doc_id <> q.last_doc")
+        first = F.col("p.doc_id") != F.col("doc_id")
+        edge = edge.unionAll(rows.where("alone").join(both, "piece").select("doc_id", "lo", (F.col("lo") + span).alias("hi"), F.when(first, F.col("p.doc_id")).otherwise(F.col("q.last_doc")).alias("src"), F.when(first, F.col("p.lo")).otherwise(F.col("q.last_lo")).alias("src_lo")))
     return whole.unionAll(edge)
 
 
+def _matches(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, src: np.ndarray, src_lo: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Factors that touch, from one source at one distance, as one match; sorted by (doc, lo)."""
+    gap = src_lo - lo
+    o = np.lexsort((hi, lo, gap, src, doc))
+    doc, lo, hi, src, gap = doc[o], lo[o], hi[o], src[o], gap[o]
+    same = (doc[1:] == doc[:-1]) & (src[1:] == src[:-1]) & (gap[1:] == gap[:-1])
+    run = np.concatenate([[0], np.cumsum(~same)])
+    # The furthest end so far within a (doc, source, distance), by lifting each above those before.
+    lift = run * (int(hi.max(initial=0)) + 1)
+    far = np.maximum.accumulate(hi + lift) - lift
+    first = np.flatnonzero(np.concatenate([[True], ~same | (lo[1:] > far[:-1])]))
+    end = far[np.append(first[1:], len(doc)) - 1]
+    doc, lo, src, gap = doc[first], lo[first], src[first], gap[first]
+    o = np.lexsort((src, -end, lo, doc))
+    return doc[o], lo[o], end[o], src[o], gap[o]
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id and its factors (as parallel arrays) -> doc_id, pos, length, src, src_pos, match_pos."""
+    for b in batches:
+        n = b["lo"].map(len).to_numpy()
+        flat = [np.concatenate(b[c].to_list()).astype(np.int64) if n.sum() else np.zeros(0, np.int64) for c in ("lo", "hi", "src", "src_lo")]
+        out = []
+        here, at, best = None, 0, None
+        m = [x.tolist() for x in _matches(np.repeat(b["doc_id"].to_numpy(), n), *flat)]
+        # (where the match that leads furthest begins, its end, its source and distance); it is taken when the place is reached.
+        for doc, lo, hi, src, gap in [*zip(*m), (None, 0, 0, 0, 0)]:
+            while here is not None and best is not None and (doc != here or lo > at):
+                if best[1] > at:
+                    start = max(at, best[0])
+                    out.append((here, start, best[1] - start, best[2], start + best[3], best[0]))
+                    at = best[1]
+                else:
+                    best = None
+            if doc != here:
+                here, at, best = doc, lo, None
+            if best is None:
+                at = max(at, lo)
+            if best is None or hi > best[1]:
+                best = (lo, hi, src, gap)
+        yield pd.DataFrame(out, columns=["doc_id", "pos", "length", "src", "src_pos", "match_pos"]).astype("int64")
+
+
+def parse(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = 4096) -> DataFrame:
+    """The parse: doc_id, pos, length, src, src_pos, match_pos, a row a factor. The factor is ``length`` characters from pos on and
+    stands in the document src from src_pos on. It is part of a match of at least ``span`` characters that
+    began at match_pos, before pos where it crosses the end of the factor before. Factors do not overlap; the
+    rest are literals."""
+    f = shared_factors(documents, span, gram, block)
+    per = f.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "src", "src_lo")).alias("f")).select("doc_id", "f.lo", "f.hi", "f.src", "f.src_lo")  # a document's factors
+    return per.mapInPandas(_parse, "doc_id bigint, pos bigint, length bigint, src bigint, src_pos bigint, match_pos bigint")
+
+
 def shared_chars(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """p9_found(doc_id, shared_chars): characters of the text that stand in shared spans."""
-    per = shared_factors(documents, span, gram).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("f"))
-    # A running union over the sorted factors: (characters so far, end so far).
-    step = "(s, x) -> struct(s.n + greatest(x.hi - greatest(x.lo, s.e), 0L) AS n, greatest(s.e, x.hi) AS e)"
-    n = F.expr(f"aggregate(f, struct(0L AS n, 0L AS e), {step}, s -> s.n)")
-    return per.select("doc_id", n.alias("shared_chars")).where("shared_chars > 0")
+    """p9_found(doc_id, shared_chars): characters of the text that stand in shared spans, which are those of its factors."""
+    return parse(documents, span, gram).groupBy("doc_id").agg(F.sum("length").alias("shared_chars"))
 
 
 def report(documents: DataFrame, span: int = SPAN) -> DataFrame:

@@ -87,3 +87,27 @@ def test_report_repeats_and_empty(spark):
     assert x.shared_chars(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         x.shared_factors(d, 10, 32)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("block", (2, 4096))
+def test_factors_stand_in_their_sources(spark, seed, block):
+    """Factors are verbatim, of other documents, do not overlap, belong to matches of at least the
+    span, and lead as far as any match from their source does."""
+    r = random.Random(100 + seed)
+    pool = [noise(r, r.randint(60, 260)) for _ in range(6)] + ["ab" * 60]
+    rows = [(i, "".join(r.choice([r.choice(pool), noise(r, r.randint(0, 60)), r.choice(pool)[r.randint(0, 20) :]]) for _ in range(r.randint(0, 7)))) for i in range(30)]
+    texts = dict(rows)
+    f = x.parse(docs(spark, rows).repartition(3), 50, 12, block).toPandas().sort_values(["doc_id", "pos"])
+    assert f.groupby("doc_id").length.sum().to_dict() == brute(rows, 50)
+    for (d, pos, n, src, at, began), then in zip(f.itertuples(index=False), [*f.itertuples(index=False)][1:] + [None]):
+        assert src != d and n > 0 and texts[d][pos : pos + n] == texts[src][at : at + n]
+        assert began <= pos and pos + n - began >= 50 and texts[d][began : pos + n] == texts[src][at - (pos - began) : at + n]
+        assert then is None or then[0] != d or then[1] >= pos + n
+
+
+def test_a_whole_copy_is_one_factor(spark):
+    r = random.Random(9)
+    t = noise(r, 5000)
+    f = x.parse(docs(spark, [(1, t), (2, "intro" + t), (3, noise(r, 900))])).toPandas().set_index("doc_id")
+    assert f.loc[1].tolist() == [0, 5000, 2, 5, 0] and f.loc[2].tolist() == [5, 5000, 1, 0, 5] and len(f) == 2
