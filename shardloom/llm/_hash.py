@@ -24,3 +24,13 @@ def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, _U)
     out[0] = 1
     return np.multiply.accumulate(out)
+
+
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """min(v[i:i+w]) for each i, in three passes whatever w (van Herk's way)."""
+    n = len(v)
+    pad = -n % w
+    x = np.concatenate([v, np.full(pad, np.iinfo(_U).max, _U)]).reshape(-1, w)
+    head = np.minimum.accumulate(x, axis=1).ravel()
+    tail = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(tail[: n - w + 1], head[w - 1 : n])

@@ -16,8 +16,11 @@ verified by exact containment: the document's words are compared with the passag
 around the place of its MinHash shingle.
 
 The index of the test items is broadcast only while their texts are within ``max_index``
-bytes (summed before; a text has fewer passages than bytes). Beyond that the shingles of the documents are joined with it by
-hash (``probe_by_join``), with the same result.
+bytes (summed before; a text has fewer passages than bytes). Beyond that (``probe_by_join``, with the
+same result) it stays a table, and of a document only those windows are sent to it whose own MinHash
+shingle is among the passages' by a bitmap of bounded size; a window and a passage
+then meet by the digest of all of their words. So neither texts nor shingles are shuffled, opening phrases that
+many items share are one passage, and a key is as hot as the result asks for.
 
 Words are maximal runs of ASCII letters and digits, compared ignoring (ASCII) case; all
 between them is ignored. Null and empty texts and texts without words hold nothing and
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from shardloom.llm._hash import BASE as _B
 from shardloom.llm._hash import mix as _mix
 from shardloom.llm._hash import powers as _pow
+from shardloom.llm._hash import sliding_min
+from shardloom.session import materialize
 
 WINDOW = 25
 SHINGLE = 5
@@ -203,36 +208,67 @@ def _scan(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFram
         yield flush(docs, texts)
 
 
-def probe_by_join(documents: DataFrame, index: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The same as the broadcast probe for an index of any size: the documents' distinct
-    shingles meet the index's MinHash shingles in an equi-join, and candidates are
-    verified against the document's text, which is read again."""
-    ks = [r["k"] for r in index.select("k").distinct().collect()]  # at most ``shingle`` values
+def windows(ws: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of ``n`` words: its MinHash shingle of ``k`` words, and two digests of all its words."""
+    if len(ws) < n:
+        return (np.zeros(0, _U),) * 3
+    return sliding_min(shingles(ws, k), n - k + 1), shingles(ws, n), shingles(_mix(ws + _U(1)), n)
 
-    def emit(batches):
+
+#: Bits of the filter of MinHash shingles, at most.
+FILTER_BITS = 1 << 26
+
+
+def _filter_bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the hashes ``key``, put together by 64-bit words before it comes to the driver."""
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out
+
+
+def probe_by_join(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The same as the broadcast probe for test items of any number and size."""
+    sc = documents.sparkSession.sparkContext
+
+    def passages_of(batches):
         w = Words()
         for b in batches:
-            for d, t in zip(b["doc_id"].to_numpy(), b["text"]):
+            out = []
+            for item, t in zip(b["item_id"].tolist(), b["text"]):
                 ws, _ = w.of(t.encode("utf-8", "surrogatepass"))
-                for k in ks:
-                    s = np.unique(shingles(ws, k))
-                    if len(s):
-                        yield pd.DataFrame({"k": np.full(len(s), k, np.int32), "key": s.view(np.int64), "doc_id": np.full(len(s), d)})
+                n = min(window, len(ws))
+                if n:
+                    out.append(pd.DataFrame(dict(zip(("key", "a", "b"), (x.view(np.int64) for x in windows(ws, n, min(shingle, n)))))).drop_duplicates().assign(n=n, item_id=item))
+            if out:
+                yield pd.concat(out)[["n", "key", "a", "b", "item_id"]]
+
+    index = materialize(items.mapInPandas(passages_of, "n int, key bigint, a bigint, b bigint, item_id bigint"), "passages")
+    sizes = [r["n"] for r in index.select("n").distinct().collect()]  # at most ``window`` values
+    bits = FILTER_BITS
+    rows = index.count()
+    while bits > 1 << 16 and bits > 32 * rows:
+        bits >>= 1
+    shared = sc.broadcast(_filter_bits(index.select("key"), bits))
 
-    def verify(batches):
-        w = Words()
+    def emit(batches):
+        w, has = Words(), shared.value
         for b in batches:
             out = []
-            for d, t, i, k, sk, at, words in zip(b["doc_id"], b["text"], b["item_id"], b["k"], b["sketch"], b["at"], b["words"]):
+            for d, t in zip(b["doc_id"].tolist(), b["text"]):
                 ws, _ = w.of(t.encode("utf-8", "surrogatepass"))
-                one = Index(pd.DataFrame({"item_id": [i], "k": [k], "sketch": [list(sk)], "at": [at], "words": [list(words)]}))
-                out += [(d, i)] * bool(one.probe(ws))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+                for n in sizes:
+                    key, one, two = windows(ws, n, min(shingle, n))
+                    at = key & _U(bits - 1)
+                    hit = (has[(at >> _U(6)).astype(np.int64)].view(_U) >> (key & _U(63))) & _U(1) == 1
+                    if hit.any():
+                        out.append(pd.DataFrame({"n": n, "a": one[hit].view(np.int64), "b": two[hit].view(np.int64), "doc_id": d}).drop_duplicates())
+            if out:
+                yield pd.concat(out)
 
-    have = documents.mapInPandas(emit, "k int, key bigint, doc_id bigint")
-    ix = index.withColumn("key", F.col("sketch")[0]).withColumn("k", F.col("k").cast("int"))
-    cand = have.join(ix, ["k", "key"]).drop("key")
-    return cand.join(documents, "doc_id").select("doc_id", "text", "item_id", "k", "sketch", "at", "words").mapInPandas(verify, "doc_id bigint, item_id bigint").distinct()
+    have = documents.mapInPandas(emit, "n int, a bigint, b bigint, doc_id bigint")
+    return have.join(index.select("n", "a", "b", "item_id"), ["n", "a", "b"]).select("doc_id", "item_id").distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_index: int = MAX_INDEX, depth: int = 4) -> DataFrame:
@@ -248,10 +284,10 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
                 z = b.iloc[i : i + 64]
                 yield passages(list(zip(z["item_id"].tolist(), z["text"])), window, shingle, depth)
 
-    index = own.mapInPandas(index_rows, "item_id bigint, k int, sketch array<bigint>, at int, words array<bigint>")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     if size > max_index:
-        return probe_by_join(docs, index, shingle)
+        return probe_by_join(docs, own, window, shingle)
+    index = own.mapInPandas(index_rows, "item_id bigint, k int, sketch array<bigint>, at int, words array<bigint>")
     sc = documents.sparkSession.sparkContext
     rows = index.toPandas()
     if rows.empty:

@@ -46,14 +46,13 @@ from pyspark.sql import functions as F
 from shardloom.llm._hash import BASE as _B
 from shardloom.llm._hash import mix as _mix
 from shardloom.llm._hash import powers as _powers
+from shardloom.llm._hash import sliding_min as _sliding_min
 from shardloom.session import materialize
 
 SPAN = 200
 GRAM = 32
 SEGMENT = 1 << 20
-_M = (1 << 64) - 1
 _U = np.uint64
-_TOP = _U(_M)
 
 
 class Hasher:
@@ -76,16 +75,6 @@ class Hasher:
         return (prefix[hi] - prefix[lo]) * self.inv[lo]
 
 
-def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    """min(v[i:i+w]) for each i, in three passes whatever w (van Herk's way)."""
-    n = len(v)
-    pad = -n % w
-    x = np.concatenate([v, np.full(pad, _TOP)]).reshape(-1, w)
-    head = np.minimum.accumulate(x, axis=1).ravel()
-    tail = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(tail[: n - w + 1], head[w - 1 : n])
-
-
 def _anchors(points: np.ndarray, ends: np.ndarray, hasher: Hasher, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors in a concatenation of texts that end at ``ends``, the
     hashes of their grams, and the prefix sums."""
