@@ -17,7 +17,8 @@ number that does not depend on the collection, and a cell's rows grow with the s
 
 *Search.* In a unit, a visiting query's inner products with all codewords are a table; the
 score of every vector of the unit is the sum of ``books`` looked-up entries divided by its
-stored norm, at every size. The ``rerank`` best scores of the unit are compared exactly, in
+stored norm, at every size. The ``rerank`` best scores of the unit that the query is nearest to, and ``rerank_far`` of
+each other one, are compared exactly, in
 double precision, with the vector itself, and each query keeps its best ``k`` over all units.
 
 *Copies.* Vectors of one direction (unit components equal to 12 places, as cosines are
@@ -95,11 +96,41 @@ class Quantiser:
         score = np.ascontiguousarray(score.T)
         n = min(n, len(codes))
         least = np.partition(score, len(codes) - n, axis=1)[:, len(codes) - n, None]
-        over, tie = score > least, score == least
-        over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
+        over = score >= least
+        if over.sum() > n * len(u):
+            tie = score == least
+            over ^= tie
+            over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
         return np.nonzero(over)[1].reshape(len(u), n)
 
     def cells_near(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` cells nearest to each row, nearest first."""
+        c = self.books[0]
+        far = (c * c).sum(1)[None, :] - 2 * x @ c.T
+        p = min(probes, len(c))
+        near = np.argpartition(far, p - 1, axis=1)[:, :p]
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1), 1)
+
+    def best(self, u: np.ndarray, codes: np.ndarray, norms: np.ndarray, n: int) -> np.ndarray:
+        """For each row of ``u`` the places, ascending, of the ``n`` codes of highest score, which
+        is looked up in the row's table of inner products; ties go to the earlier place."""
+        score = np.zeros((len(codes), len(u)), np.float32)
+        for m, book in enumerate(self.books):
+            used, code = np.unique(codes[:, m], return_inverse=True)
+            score += (book[used] @ u.T)[code]
+        score /= np.maximum(norms, 1e-9).astype(np.float32)[:, None]
+        score = np.ascontiguousarray(score.T)
+        n = min(n, len(codes))
+        least = np.partition(score, len(codes) - n, axis=1)[:, len(codes) - n, None]
+        over = score >= least
+        if over.sum() > n * len(u):
+            tie = score == least
+            over ^= tie
+            over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
+        return np.nonzero(over)[1].reshape(len(u), n)
+
+    def cells_near(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` cells nearest to each row, nearest first."""
         c = self.books[0]
         far = (c * c).sum(1)[None, :] - 2 * x @ c.T
         p = min(probes, len(c))
@@ -168,10 +199,10 @@ def _direction(e: str) -> Column:
     return F.md5(F.concat_ws(",", F.transform(unit[0], lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))).cast("binary"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 224, sample: int = SAMPLE, piece: int = 2048, beam: int = 4, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 224, rerank_far: int = 96, sample: int = SAMPLE, piece: int = 2048, beam: int = 4, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
     """vec_id, neighbour, cos, rank (1..k) of every vector that takes part."""
-    if k < 1 or probes < 1 or rerank <= k:
-        raise ValueError("k >= 1, probes >= 1, rerank > k")
+    if k < 1 or probes < 1 or min(rerank, rerank_far) <= k:
+        raise ValueError("k >= 1, probes >= 1, rerank and rerank_far > k")
     spark = vectors.sparkSession
     v = materialize(valid(vectors).withColumn("key", _direction("e")), "vectors")
     # A class of copies: its k + 1 smallest ids, found in two steps (a class may be huge).
@@ -188,7 +219,7 @@ def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 2
     parts = []
     for dim in dims:
         part = classes.where(F.col("dim") == dim)
-        parts.append(_search(part, k, probes, rerank, sample, piece, beam, books, words, seed))
+        parts.append(_search(part, k, probes, (rerank, rerank_far), sample, piece, beam, books, words, seed))
     if not parts:
         return empty
     best = parts[0]
@@ -201,7 +232,7 @@ def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 2
     return out.select("vec_id", F.col("n.id").alias("neighbour"), (-F.col("n.far")).alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
-def _search(part: DataFrame, k: int, probes: int, rerank: int, sample: int, piece: int, beam: int, books: int, words: int, seed: int) -> DataFrame:
+def _search(part: DataFrame, k: int, probes: int, rerank: tuple[int, int], sample: int, piece: int, beam: int, books: int, words: int, seed: int) -> DataFrame:
     """key, near (array of (id, cos), at least the class's k + 1 nearest ids) by class."""
     sc = part.sparkSession.sparkContext
     n = part.count()
@@ -241,12 +272,20 @@ def _search(part: DataFrame, k: int, probes: int, rerank: int, sample: int, piec
             home = first[cell] + (cid.view(np.uint64) % parts[cell].astype(np.uint64)).astype(np.int64)
             yield pd.DataFrame({"unit": home, "asks": 0, "cid": cid, "least": b["least"], "codes": b["codes"], "norm": b["norm"], "e": b["e"]})
             near = np.stack(b["near"].to_list()).astype(np.int64)
+            place = np.tile(np.arange(near.shape[1]), len(b))
             who, near = np.repeat(np.arange(len(b)), near.shape[1]), near.ravel()
-            who, near = who[parts[near] > 0], near[parts[near] > 0]
+            full = parts[near] > 0
+            who, near, place = who[full], near[full], place[full]
             n = parts[near]
             to = np.repeat(first[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pair = np.unique(np.stack([np.repeat(who, n), to], 1), axis=0)
-            yield pd.DataFrame({"unit": pair[:, 1], "asks": 1, "cid": cid[pair[:, 0]], "least": 0, "codes": None, "norm": 0.0, "e": b["e"].to_numpy()[pair[:, 0]]})
+            who, place = np.repeat(who, n), np.repeat(place, n)
+            o = np.lexsort((place, to, who))
+            o = o[np.concatenate([[True], (who[o][1:] != who[o][:-1]) | (to[o][1:] != to[o][:-1])])] if len(o) else o
+            # A query's first unit is that of its nearest cell that has rows.
+            least = np.full(len(b), near.size, np.int64)
+            np.minimum.at(least, who, place)
+            pair = np.stack([who[o], to[o]], 1)
+            yield pd.DataFrame({"unit": pair[:, 1], "asks": np.where(place[o] == least[who[o]], 1, 2), "cid": cid[pair[:, 0]], "least": 0, "codes": None, "norm": 0.0, "e": b["e"].to_numpy()[pair[:, 0]]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by (unit, asks): a unit's vectors, then its visitors."""
@@ -275,7 +314,7 @@ def _search(part: DataFrame, k: int, probes: int, rerank: int, sample: int, piec
                     g = b.iloc[s : min(s + 256, z)]
                     e = _stack(g["e"])
                     u = e / np.linalg.norm(e, axis=1)[:, None]
-                    best = q.best(u.astype(np.float32), codes, norm, rerank)
+                    best = q.best(u.astype(np.float32), codes, norm, rerank[asks[a] - 1])
                     cos = np.round(np.einsum("qd,qtd->qt", u, own[best]), 12)
                     keep = min(k + 1, best.shape[1])  # itself and k others
                     lead = np.argsort(-cos, axis=1, kind="stable")[:, :keep]

@@ -56,8 +56,8 @@ def _also(sql: dict[str, str]) -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that are plain counting or containment; the others are tested
-    against brute force in tests/llm."""
+    """SQL for the queries that SQL can express (p6_found by brute force, of which the operator
+    finds nearly all); the others are tested against brute force in tests/llm."""
     pools = f"po AS (SELECT store_id, {_LABEL.format('label')} AS k, count(DISTINCT rec_id) AS h FROM cells WHERE label IS NOT NULL GROUP BY 1, 2)"
     size = f"sz AS (SELECT lower(trim(source, {_BLANKS})) AS k, sum(strlen(text))::HUGEINT AS tokens FROM documents GROUP BY 1), tt AS (SELECT sum(tokens) AS total FROM sz)"
     # Words of a text, and its runs of n words as text.
@@ -87,6 +87,12 @@ def oracle_sql() -> dict[str, str]:
             " rk AS (SELECT plan_id, split_name, label, rec_id, seats, row_number() OVER (PARTITION BY plan_id, split_name, label ORDER BY md5('7:draw:' || plan_id || ':' || split_name || ':' || rec_id), rec_id) AS r FROM se JOIN rc USING (store_id, k))"
             " SELECT plan_id, split_name, label, rec_id FROM rk WHERE r <= seats"
         ),
+        "p6_found": (
+            "WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),"
+            " u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),"
+            " c AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.u, y.u), 12) AS c FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.u) = len(y.u)),"
+            " r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM c) SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE r <= 5"
+        ),
         "p7_found": (
             f"WITH iw AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL), ip AS (SELECT DISTINCT item_id, least(25, len(w)) AS n, unnest({runs('least(25, len(w))')}) AS r FROM iw WHERE len(w) > 0),"
             f" ns AS (SELECT DISTINCT n FROM ip), dw AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), dp AS (SELECT DISTINCT doc_id, n, unnest({runs('n')}) AS r FROM dw, ns WHERE len(w) >= n)"

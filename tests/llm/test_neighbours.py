@@ -80,7 +80,7 @@ def test_scaled_copies_tie_to_the_smaller_id(spark):
     r = np.random.default_rng(4)
     base = r.integers(-9, 10, size=8).astype(float)
     rows = [(int(i), base * (1 + 3 * j)) for j, i in enumerate(r.permutation(60))] + [(1000 + i, base + r.normal(size=8)) for i in range(3)]
-    n = x.neighbours(frame(spark, rows).repartition(3), 5, rerank=8, piece=16).toPandas()
+    n = x.neighbours(frame(spark, rows).repartition(3), 5, rerank=8, rerank_far=8, piece=16).toPandas()
     got = {i: list(g.sort_values("rank").neighbour) for i, g in n.groupby("vec_id")}
     assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(60))
     assert got[1000] == brute(rows, 5)[1000]
@@ -112,13 +112,13 @@ def test_a_short_rerank_costs_recall_so_the_tables_decide(spark):
         got = x.neighbours(frame(spark, rows), 5, books=2, words=4, **kw).toPandas().groupby("vec_id").neighbour.apply(set)
         return np.mean([len(got[i] & set(want[i])) / 5 for i in want])
 
-    assert recall(rerank=6, probes=200) < recall(rerank=800, probes=200) == 1
+    assert recall(rerank=6, rerank_far=6, probes=200) < recall(rerank=800, rerank_far=800, probes=200) == 1
 
 
 def test_results_do_not_depend_on_partitions(spark):
     r = np.random.default_rng(7)
     d = frame(spark, [(i, r.normal(size=8)) for i in range(900)])
-    a, b = (sorted(map(tuple, x.neighbours(d.repartition(p), 3, rerank=8, probes=2, piece=64).collect())) for p in (1, 13))
+    a, b = (sorted(map(tuple, x.neighbours(d.repartition(p), 3, rerank=8, rerank_far=8, probes=2, piece=64).collect())) for p in (1, 13))
     assert [t[:2] for t in a] == [t[:2] for t in b]
 
 
