@@ -282,6 +282,12 @@ def class_batches_coherent(spark, d):
     return _big(p.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("class").alias("n_classes")))
 
 
+def class_drop_last(spark, d):
+    """Class draws whose last, short batch is left out."""
+    x, n = _class_sampler(spark, d, drop_last=True)
+    return _big(x._plan(spark, n).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("obs_idx").alias("min_idx"), F.max("obs_idx").alias("max_idx")))
+
+
 # -- ranks, workers, requests ----------------------------------------------------
 
 
@@ -438,7 +444,7 @@ def queries() -> dict:
         replacement_plan, replacement_gather, block_shuffle_assignment, collection_sizes, groupby_sorted_rows, groupby_multi_key, category_order_sort,
         append_deal, concat_outer_obs, src_provenance, obs_projection, key_presence_census, concat_outer_features, var_subset, append_feature_subset,
         feature_remap, obs_names_unique, class_runs, class_run_violations, class_probabilities, class_mask_renormalized, class_plan,
-        class_batches_coherent, worker_split, range_to_dataset, request_order_gather, sparse_basket_rows, sparse_row_gather, sparse_indptr,
+        class_batches_coherent, class_drop_last, worker_split, range_to_dataset, request_order_gather, sparse_basket_rows, sparse_row_gather, sparse_indptr,
         dense_gather, dense_batch_stats, dtype_promotion, shard_geometry_dense, shard_geometry_sparse, bytes_per_row, run_coalescing, auto_batches,
         p3_found, p3_kept, p3_report,
     ]
@@ -637,6 +643,7 @@ def oracle_sql() -> dict[str, str]:
         "class_mask_renormalized": f"WITH {_runs_sql('w > 0 AND i >= q // 8 AND i < q // 2')} SELECT class, round(prob, 12) AS prob FROM pp",
         "class_plan": f"WITH {_class_slices()} SELECT slice_ord, class, start, stop FROM sl",
         "class_batches_coherent": f"WITH {_class_slices()}, ex AS (SELECT (slice_ord * 9 + unnest(range(stop - start))) // 6 AS batch_id, class FROM sl) SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, count(DISTINCT class)::BIGINT AS n_classes FROM ex GROUP BY 1",
+        "class_drop_last": f"WITH {_class_slices()}, ex AS (SELECT slice_ord * 9 + unnest(range(stop - start)) AS p, unnest(range(start, stop)) AS obs_idx FROM sl) SELECT (p // 6)::BIGINT AS batch_id, count(*)::BIGINT AS n, min(obs_idx)::BIGINT AS min_idx, max(obs_idx)::BIGINT AS max_idx FROM ex, ns WHERE p < ns - ns % 6 GROUP BY 1",
         "dist_shards_equal": shard(True),
         "dist_shards_raw": shard(False),
         "worker_split": f"WITH {_chunk_ctes('events', 'event_id', 64)} SELECT chunk::BIGINT AS chunk, (ntile(4) OVER (ORDER BY visit_rank) - 1)::BIGINT AS worker FROM ch",

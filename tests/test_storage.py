@@ -43,7 +43,7 @@ def test_create_append_and_versions(spark, collection):
     with pytest.raises(ValueError):
         c.add([source(spark, 8, 3)], block=5)  # two blocks for three datasets
     c.vacuum()
-    assert "v1" not in c.files.names() and c.read().count() == 146
+    assert not [n for n in c.files.names() if n.startswith("v1-") or n == "manifest-1.json"] and c.read().count() == 146
 
 
 def test_fetch_ranges(spark, collection):
@@ -160,3 +160,130 @@ def test_stream_append(spark, tmp_path):
     source(spark, 20, 1).write.mode("append").parquet(f"{tmp_path}/in")
     append_stream(stream, c, f"{tmp_path}/ck", block=5).awaitTermination()
     assert c.n_obs == 50 and len(c.sizes) == 3
+
+
+def features(spark, names, **attrs):
+    rows = [(i, n, *[v[i] for v in attrs.values()]) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, ", ".join(["var_idx int", "var_name string", *[f"`{a}` string" for a in attrs]]))
+
+
+def matrix(spark, tag, rows):
+    return spark.createDataFrame([(f"{tag}{k}", i, v, i, v, [k, k, k], [0, 9], [1.0, 2.0]) for k, (i, v) in enumerate(rows)], "obs_name string, x_indices array<int>, x_values array<double>, layer_indices array<int>, layer_values array<double>, side array<int>, raw_indices array<int>, raw_values array<double>")
+
+
+def by_name(c, element="x", var="var"):
+    names = {r.var_idx: r.var_name for r in getattr(c, var).collect()}
+    return {r.obs_name: {names[i]: v for i, v in zip(r[f"{element}_indices"], r[f"{element}_values"])} for r in c.read().collect()}
+
+
+def test_features_are_aligned_on_create_and_append(spark, tmp_path):
+    va, vb = features(spark, ["a", "b", "c"], kind=["p", "q", "r"], only=["1", "2", "3"]), features(spark, ["c", "d"], kind=["r", "s"])
+    ra = features(spark, [f"g{i}" for i in range(10)])
+    rb = features(spark, [f"g{9 - i}" for i in range(10)])
+    a, b = matrix(spark, "a", [([2, 0], [3.0, 1.0]), ([], [])]), matrix(spark, "b", [([0, 1], [5.0, 6.0])])
+    c = Collection(spark, f"file://{tmp_path}/c").add([a, b], vars_=[va, vb], raw_vars=[ra, rb], merge="unique", block=1)
+    assert [(r.var_idx, r.var_name) for r in c.var.orderBy("var_idx").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    want = {"a0": {"a": 1.0, "c": 3.0}, "a1": {}, "b0": {"c": 5.0, "d": 6.0}}
+    assert by_name(c) == by_name(c, "layer") == want
+    assert by_name(c, "raw", "raw_var") == {"a0": {"g0": 1.0, "g9": 2.0}, "a1": {"g0": 1.0, "g9": 2.0}, "b0": {"g9": 1.0, "g0": 2.0}}
+    assert {r.obs_name: list(r.side) for r in c.read().collect()}["a1"] == [1, 1, 1]
+    more = matrix(spark, "m", [([0, 1], [7.0, 8.0])])
+    c.add([more], vars_=[features(spark, ["new", "b"])], raw_vars=[ra], block=1, spread=False)
+    assert by_name(c) == want | {"m0": {"b": 8.0}} and c.var.count() == 4
+    with pytest.raises(ValueError):
+        c.add([more], block=1)  # features for all or none
+    with pytest.raises(ValueError):
+        c.add([more], vars_=[features(spark, ["x", "x"])], raw_vars=[ra], block=1)
+    x = Loader(batch_size=2, to="dense").use_collection(c)
+    assert x.n_var == 4 and {b["X"].shape[1] for b in x} == {4}
+
+
+def test_merge_modes_on_create(spark, tmp_path):
+    va, vb = features(spark, ["a", "b"], same=["1", "2"], other=["x", "y"], first=["f", "g"]), features(spark, ["b", "a"], same=["2", "1"], other=["y", "z"])
+    got = {}
+    for m in (None, "same", "unique", "first", "only"):
+        c = Collection(spark, f"file://{tmp_path}/{m}").add([matrix(spark, "a", [([0], [1.0])]), matrix(spark, "b", [([0], [1.0])])], vars_=[va, vb], merge=m, block=1)
+        got[m] = {k: [r[k] for r in c.var.orderBy("var_idx").collect()] for k in c.var.columns[2:]}
+    assert got == {None: {}, "same": {"same": ["1", "2"]}, "unique": {"same": ["1", "2"], "first": ["f", "g"]}, "first": {"same": ["1", "2"], "other": ["x", "y"], "first": ["f", "g"]}, "only": {"first": ["f", "g"]}}
+
+
+def test_dense_rows_are_aligned_with_nan(spark, tmp_path):
+    d = lambda tag, x: spark.createDataFrame([(tag, x)], "obs_name string, x array<float>")
+    c = Collection(spark, f"file://{tmp_path}/c").add([d("a", [1.0, 2.0]), d("b", [3.0, 4.0])], vars_=[features(spark, ["p", "q"]), features(spark, ["q", "r"])], block=1)
+    got = {r.obs_name: r.x for r in c.read().collect()}
+    assert got["a"][:2] == [1.0, 2.0] and np.isnan(got["a"][2]) and np.isnan(got["b"][0]) and got["b"][1:] == [3.0, 4.0]
+
+
+def test_rows_of_more_dimensions_keep_their_shape(spark, tmp_path):
+    d = spark.createDataFrame([(f"i{k}", [[[float(k), 1.0, 2.0], [3.0, 4.0, 5.0]]] * 4) for k in range(6)], "obs_name string, x array<array<array<float>>>")
+    c = Collection(spark, f"file://{tmp_path}/c").add([d], block=2)
+    b = list(Loader(batch_size=4, chunk_size=2, preload_nchunks=2).use_collection(c))
+    assert [x["X"].shape for x in b] == [(4, 4, 2, 3), (2, 4, 2, 3)] and b[0]["X"].dtype == np.float32
+
+
+def test_commits_are_exclusive_and_failures_leave_the_old_version(spark, collection, monkeypatch):
+    before = collection.manifest
+    one = Collection(spark, collection.root)
+    raced = one.files.commit
+
+    def late(rel, text):
+        Collection(spark, collection.root).add([source(spark, 20, 7)], block=5)  # another writer is faster
+        raced(rel, text)
+
+    monkeypatch.setattr(one.files, "commit", late)
+    with pytest.raises(FileExistsError):
+        one.add([source(spark, 20, 8)], block=5)
+    assert collection.n_obs == 123 and collection.manifest["version"] == before["version"] + 1
+
+    def dies(rel, text):
+        raise OSError("no more disk")
+
+    monkeypatch.setattr(one.files, "commit", dies)
+    with pytest.raises(OSError):
+        one.add([source(spark, 20, 8)], block=5)
+    assert collection.n_obs == 123
+    again = Collection(spark, collection.root).add([source(spark, 20, 8)], block=5)  # nothing is in the way
+    assert again.n_obs == 143
+    again.vacuum()
+    assert sorted(n for n in again.files.names() if not n.startswith(".")) == sorted([again.manifest["folders"][0], f"manifest-{again.manifest['version']}.json"])
+    empty = Collection(spark, collection.root + "-none")
+    empty.vacuum()
+
+
+def test_streams_do_not_meet_and_batches_come_once(spark, tmp_path):
+    from shardloom.streaming.ingest import append_stream
+
+    source(spark, 10, 0).write.parquet(f"{tmp_path}/a"), source(spark, 10, 1).write.parquet(f"{tmp_path}/b")
+    c = Collection(spark, f"file://{tmp_path}/c")
+    for k in "ab":
+        stream = spark.readStream.schema(source(spark, 1, 0).schema).parquet(f"{tmp_path}/{k}")
+        append_stream(stream, c, f"{tmp_path}/ck-{k}", block=5).awaitTermination()
+    assert c.n_obs == 20
+    c.add([source(spark, 10, 2)], block=5, token=("s", 4))
+    c.add([source(spark, 10, 2)], block=5, token=("s", 4))  # run again after a failure
+    assert c.n_obs == 30 and c.manifest["tokens"]["s"] == 4
+
+
+def test_categories_agree_or_are_united(spark, tmp_path):
+    two = [source(spark, 10, 0), source(spark, 10, 1)]
+    with pytest.raises(ValueError, match="differ"):
+        Collection(spark, f"file://{tmp_path}/a").add(two, groupby="label", categories=[{"label": ["a", "b"]}, {"label": ["b", "a"]}], block=5)
+    with pytest.raises(ValueError, match="some sources only"):
+        Collection(spark, f"file://{tmp_path}/a").add(two, groupby="label", categories=[{"label": ["a", "b"]}, {}], block=5)
+    c = Collection(spark, f"file://{tmp_path}/b").add(two, categories=[{"label": ["b"]}, {"label": ["a", "b"]}], block=5)
+    assert c.manifest["categories"] == {"label": ["b", "a"]}
+    with pytest.raises(ValueError, match="differ"):
+        c.add(two[:1], groupby="label", categories={"label": ["a", "b"]}, block=5)
+
+
+def test_windows_deliver_what_the_plan_says(spark, collection, monkeypatch):
+    import shardloom.loader as module
+
+    monkeypatch.setattr(module, "WINDOW_ROWS", 40)
+    x = Loader(chunk_size=4, preload_nchunks=4, batch_size=8, shuffle=True, drop_last=True, return_index=True).use_collection(collection)
+    plan = x.rows().select("batch_id", "pos_in_batch", "obs_idx").toPandas().sort_values(["batch_id", "pos_in_batch"])
+    assert [b["index"].tolist() for b in x] == [g.obs_idx.tolist() for _, g in plan.groupby("batch_id")] and len(x) == 12
+    d = s.DistributedSampler(s.RandomSampler(4, 4, 8, seed=3), dist_info=lambda: (1, 2))
+    y = Loader(d, return_index=True).use_collection(collection)
+    got = np.concatenate([b["index"] for b in y])
+    assert sorted(got) == list(range(48, 96)) and len(list(y)) == 6
