@@ -27,6 +27,10 @@ from shardloom.sources.collection import Collection
 
 #: Rows that are delivered at once.
 WINDOW_ROWS = 100_000
+#: Chunks, and so ranges, of one scan.
+WINDOW_CHUNKS = 256
+#: Windows that are fetched at once while one is delivered.
+AHEAD = 4
 
 
 class Loader:
@@ -156,25 +160,27 @@ class Loader:
         """Batches in order. Every batch is packed into one Arrow buffer on the executors, so
         the driver fetches a few large rows: one window or partition at a time, the next
         one meanwhile."""
-        d = self.rows()
+        if self._rows is None or not self._n:
+            raise ValueError("no rows are registered")
         extra = {"obs_idx", "request_id", "pos", "batch_id", "pos_in_batch", "dataset", "row"}
-        names = [c for c in d.columns if c not in extra and not c.endswith(("_indices", "_values")) and c != "x"]
+        names = [c for c in self._rows.columns if c not in extra and not c.endswith(("_indices", "_values")) and c != "x"]
         width = self.n_var if self._var is not None else None
         s = self._epoch()
         if self._fetch is not None and hasattr(s, "chunks") and not s.replacement and s.num_workers == 1:
             bodies = self._windows(s)
         else:
             n = max(1, min(len(self), -(-self._n // WINDOW_ROWS)))
-            ordered = d.repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id", "pos_in_batch")
+            ordered = self.rows().repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id", "pos_in_batch")
             bodies = (r["body"] for r in ordered.mapInArrow(pack_batches, "batch_id bigint, body binary").toLocalIterator(prefetchPartitions=True))
         for body in bodies:
             yield self._batch(pa.ipc.open_stream(body).read_all(), names, width)
 
-    def _windows(self, s: Sampler, window: int = 0) -> Iterator[bytes]:
-        """The packed batches of an epoch, by windows of whole requests of about ``window`` rows."""
+    def _windows(self, s: Sampler) -> Iterator[bytes]:
+        """The packed batches of an epoch, by windows of whole requests: about ``WINDOW_ROWS`` rows, and no
+        more chunks than ranges that a scan is pruned by."""
         spark, n = self._rows.sparkSession, self._n
         chunks = materialize(s.chunks(spark, n), "chunks")
-        each = max(1, (window or WINDOW_ROWS) // (s.chunk_size * s.preload_nchunks)) * s.preload_nchunks  # chunks a window
+        each = max(1, min(WINDOW_ROWS // (s.chunk_size * s.preload_nchunks), WINDOW_CHUNKS // s.preload_nchunks)) * s.preload_nchunks  # chunks a window
         visits = chunks.orderBy("visit_rank").select("start", "stop").toLocalIterator()
 
         def fetch(ranges: list[slice]) -> list[tuple[int, bytes]]:
@@ -183,10 +189,10 @@ class Loader:
             d = d.repartition(parts, "batch_id").sortWithinPartitions("batch_id", "pos_in_batch")
             return sorted(((r["batch_id"], r["body"]) for r in d.mapInArrow(pack_batches, "batch_id bigint, body binary").collect()), key=lambda x: x[0])  # a window
 
-        with ThreadPoolExecutor(1) as pool:
+        with ThreadPoolExecutor(AHEAD) as pool:
             ahead: deque = deque()
             while True:
-                while len(ahead) < 2 and (ranges := [slice(r["start"], r["stop"]) for r in islice(visits, each)]):
+                while len(ahead) <= AHEAD and (ranges := [slice(r["start"], r["stop"]) for r in islice(visits, each)]):
                     ahead.append(pool.submit(fetch, ranges))
                 if not ahead:
                     break

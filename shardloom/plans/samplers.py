@@ -143,6 +143,7 @@ class _ChunkSampler(Sampler):
             pivot = c.where(F.col("visit_rank") == n - 1).first()["chunk"]
         else:
             c, pivot = c.withColumn("visit_rank", F.col("chunk")), n - 1
+        self._pivot = pivot
         r = (b - a) % cs or cs
         start = F.when(F.col("chunk") <= pivot, a + F.col("chunk") * cs).otherwise(a + (F.col("chunk") - 1) * cs + r)
         return c.select("chunk", start.alias("start"), (start + F.when(F.col("chunk") == pivot, r).otherwise(cs)).alias("stop"), "visit_rank")
@@ -150,7 +151,7 @@ class _ChunkSampler(Sampler):
     def annotate(self, df: DataFrame, n_obs: int, idx: str = "obs_idx", chunks: DataFrame | None = None) -> DataFrame:
         """Adds request_id, pos, batch_id, pos_in_batch to rows that carry their ordinal;
         rows outside the mask or cut off are gone. Without replacement only. ``df`` may hold
-        some whole requests; ``chunks`` is the output of ``chunks``, if it is at hand."""
+        some whole requests; ``chunks`` is the last output of ``chunks``, if it is at hand."""
         if self.replacement:
             raise ValueError("with replacement rows repeat: use plan() and a join")
         self.validate(n_obs)
@@ -167,9 +168,10 @@ class _ChunkSampler(Sampler):
             return out.withColumn("request_id", q(m)).withColumn("pos", at % m).withColumn("batch_id", q(bs)).withColumn("pos_in_batch", at % bs)
         c = self.chunks(df.sparkSession, n_obs) if chunks is None else chunks
         n_chunks = -(-total // cs)
-        # The chunk of a row in closed form: before, in and behind the ragged chunk.
-        p = c.where(F.col("visit_rank") == n_chunks - 1).first()
-        lo, hi, pivot = p["start"], p["stop"], p["chunk"]
+        # The chunk of a row in closed form: before, in and behind the ragged chunk, which ``chunks`` has found.
+        pivot = self._pivot
+        lo = a + pivot * cs
+        hi = lo + (total % cs or cs)
         i = F.col(idx)
         chunk = F.when(i < lo, F.expr(f"(`{idx}` - {a}) div {cs}")).when(i < hi, F.lit(pivot)).otherwise(F.expr(f"{pivot} + 1 + (`{idx}` - {hi}) div {cs}"))
         ranks = c.select(F.col("chunk").alias("__c"), F.col("start").alias("__s"), "visit_rank")

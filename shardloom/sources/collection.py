@@ -161,7 +161,7 @@ class Collection:
         m = F.create_map(*[F.lit(x) for kv in off.items() for x in kv])
         return self.read().withColumn("obs_idx", m[F.col("dataset")].cast("bigint") + F.col("row"))
 
-    def fetch(self, ranges: list[slice], max_predicates: int = 64) -> DataFrame:
+    def fetch(self, ranges: list[slice], max_predicates: int = 512) -> DataFrame:
         """The rows of global half-open ranges, with obs_idx. Each range becomes (dataset, row
         range) predicates that prune partitions and, as files are sorted by row, row
         groups; ranges that touch are one. More than ``max_predicates`` are joined instead. A
@@ -179,10 +179,7 @@ class Collection:
         if not parts:
             return self.indexed().limit(0)
         if len(parts) <= max_predicates:
-            hit = None
-            for k, a, z in parts:
-                p = (F.col("dataset") == k) & (F.col("row") >= a) & (F.col("row") < z)
-                hit = p if hit is None else hit | p
+            hit = " OR ".join(f"(dataset = {k} AND `row` >= {a} AND `row` < {z})" for k, a, z in parts)  # the parser makes it a balanced tree
             return self.indexed().where(hit)
         from shardloom.operators.index import expand
 
