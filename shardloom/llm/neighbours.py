@@ -101,7 +101,7 @@ class Quantiser:
             tie = score == least
             over ^= tie
             over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
-        return np.nonzero(over)[1].reshape(len(u), n)
+        return (np.flatnonzero(over) % len(codes)).reshape(len(u), n)
 
     def cells_near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` cells nearest to each row, nearest first."""
@@ -127,7 +127,7 @@ class Quantiser:
             tie = score == least
             over ^= tie
             over |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= n - over.sum(1, keepdims=True))
-        return np.nonzero(over)[1].reshape(len(u), n)
+        return (np.flatnonzero(over) % len(codes)).reshape(len(u), n)
 
     def cells_near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` cells nearest to each row, nearest first."""
@@ -199,7 +199,7 @@ def _direction(e: str) -> Column:
     return F.md5(F.concat_ws(",", F.transform(unit[0], lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))).cast("binary"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 224, rerank_far: int = 96, sample: int = SAMPLE, piece: int = 2048, beam: int = 4, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, probes: int = 16, rerank: int = 224, rerank_far: int = 80, sample: int = SAMPLE, piece: int = 1024, beam: int = 4, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> DataFrame:
     """vec_id, neighbour, cos, rank (1..k) of every vector that takes part."""
     if k < 1 or probes < 1 or min(rerank, rerank_far) <= k:
         raise ValueError("k >= 1, probes >= 1, rerank and rerank_far > k")
