@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector, by additive quantisation.
 
 *Codebooks.* ``books`` codebooks of full-dimensional codewords are fitted one after the
-other to the residuals of a bounded sample: the rows of smallest content hash, 64 for each
+other to the residuals of a bounded sample: the rows of smallest content hash, 32 for each
 word of the first book and at most ``sample``; so the sample is the same whatever the
 partitioning. A vector's code is found by beam search over the codebooks: the ``beam``
 best partial sums are extended by every codeword, not just the nearest. The code stands
@@ -238,7 +238,7 @@ def _search(part: DataFrame, k: int, probes: int, rerank: tuple[int, int], sampl
     n = part.count()
     cells = min(n, 4 * math.isqrt(n))
     # The rows of smallest hash, exactly so many; a hash below twice their share is looked at.
-    size = min(n, sample, 64 * max(cells, words))
+    size = min(n, sample, 32 * max(cells, words))
     share = min(1.0, 2.0 * size / n + 1e-4)
     few = part.select("e", "key", u64(seed, F.col("key")).alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63)))))
     few = few.orderBy("h", "key").limit(size).select("e").toPandas()  # at most ``sample`` rows
